@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,17 @@ def bytes_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray
     return whole[off[0] : off[-1]], off - off[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about `most` bytes of text each, at least one row, so that arrays over its bytes stay small."""
+    size = np.cumsum([len(x) for x in batch[column].cast(pa.large_binary()).to_pylist()]) if batch.num_rows else np.empty(0, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, done + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def numbers_of(column: pa.ChunkedArray, dtype=np.int64) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
 

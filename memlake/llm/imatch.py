@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import bytes_of, numbers_of, partitions, table
+from memlake.llm.common import bytes_of, partitions, slices, table
 from memlake.llm.toxicity import FOLD
 from memlake.llm.windows import C1, U, mix, words
 
@@ -47,8 +47,14 @@ def lexicon(docs: DataFrame, text_col: str = "text", common: float = 0.2, rare:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, _, n = terms(b["text"])
-            w, df = np.unique(code, return_counts=True)
+            got, n = [], b.num_rows
+            for x in slices(b, "text"):
+                got.append(np.unique(terms(x["text"])[0], return_counts=True))
+            if not got:
+                continue
+            w, df = (np.concatenate(v) for v in zip(*got, strict=True))
+            w, at = np.unique(w, return_inverse=True)
+            df = np.bincount(at, df).astype(np.int64)
             # the count of documents travels as a word of its own, null
             yield pa.RecordBatch.from_arrays([pa.array([None, *w.view(np.int64).tolist()], pa.int64()), pa.array(np.r_[n, df].astype(np.int64))], ["w", "n"])
 
@@ -115,7 +121,7 @@ def fingerprint(docs: DataFrame, band: np.ndarray, id_col: str = "doc_id", text_
     held = docs.sparkSession.sparkContext.broadcast(band)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, "text")):
             n = pa.array([len(t) for t in b["text"].to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b["id"], n, pa.array(written(fingerprints(b["text"], held.value)))], ["id", "n_chars", "fingerprint"])
 

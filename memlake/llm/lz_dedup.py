@@ -15,21 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.windows import Windows, dense, earlier, remove_repeats
-
-
-def rank_levels(tok: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """Places in suffix order, compared up to 1, 2, 4 ... and `depth` tokens."""
-    n, have = len(tok), 1
-    levels = [(1, dense(tok))]
-    while have < depth:
-        step = min(have, depth - have)
-        rank = levels[-1][1]
-        after = np.full(n, -1, np.int64)
-        after[: max(0, n - step)] = rank[step:]
-        have += step
-        levels.append((have, dense(rank * (int(rank.max(initial=0)) + 2) + after + 1)))
-    return levels
+from memlake.llm.windows import Windows, earlier, remove_repeats, suffix_ranks
 
 
 class Block:
@@ -39,7 +25,7 @@ class Block:
         self.words = [w for t in texts for w in [*t, None]]  # None ends a text
         codes = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
         tok = np.array([codes.get(w, len(codes) + i) if w is not None else len(codes) + i for i, w in enumerate(self.words)], np.uint64)
-        self.order = np.argsort(rank_levels(tok, max(1, len(tok)))[-1][1], kind="stable").tolist() if len(tok) else []
+        self.order = np.argsort(suffix_ranks(tok, len(tok)), kind="stable").tolist() if len(tok) else []
         self.codes = codes
 
     def longest(self, text: list[bytes], i: int) -> int:
@@ -87,9 +73,8 @@ def kernel(spec: Windows, tok: np.ndarray, off: np.ndarray, least: np.ndarray) -
     doc = np.repeat(least, size)
     at = np.arange(len(tok)) - np.repeat(off[:-1], size)
     starts = np.flatnonzero(at <= np.repeat(size, size) - spec.window)
-    rank = rank_levels(tok, spec.window)[-1][1]
     low = doc.copy()
-    low[starts] = earlier(spec, rank[starts], doc[starts])
+    low[starts] = earlier(suffix_ranks(tok, spec.window, starts), doc[starts])
     return low
 
 

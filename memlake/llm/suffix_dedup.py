@@ -63,9 +63,8 @@ def kernel(spec: Windows, tok: np.ndarray, off: np.ndarray, least: np.ndarray) -
     doc = np.repeat(least, np.diff(off))
     at = np.arange(len(tok)) - np.repeat(off[:-1], np.diff(off))
     starts = np.flatnonzero(at <= np.repeat(np.diff(off), np.diff(off)) - spec.window)
-    rank = suffix_ranks(tok, spec.window)
     low = doc.copy()
-    low[starts] = earlier(spec, rank[starts], doc[starts])
+    low[starts] = earlier(suffix_ranks(tok, spec.window, starts), doc[starts])
     return low
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import bytes_of, checkpointed, numbers_of, table
+from memlake.llm.common import bytes_of, checkpointed, numbers_of, slices, table
 from memlake.llm.windows import C1, U, mix, words
 
 D = 0.75
@@ -129,7 +129,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str,
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bigrams of a batch of training rows by half and class."""
-    for b in batches:
+    for b in (x for whole in batches for x in slices(whole, "text")):
         code, first = coded(pa.chunked_array([b["text"]]))
         kind = (numbers_of(b["half"]) * 2 + numbers_of(b["toxic"])).astype(np.int64)
         u, k = pairs(code, first), np.repeat(kind, np.diff(first))
@@ -143,7 +143,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of a batch of documents with their counts."""
     for b in batches:
-        w, n = np.unique(coded(pa.chunked_array([b["text"]]))[0], return_counts=True)
+        # counts of a batch's pieces are added up before they leave
+        got = [np.unique(coded(pa.chunked_array([x["text"]]))[0], return_counts=True) for x in slices(b, "text")]
+        if not got:
+            continue
+        w, n = (np.concatenate(v) for v in zip(*got, strict=True))
+        w, at = np.unique(w, return_inverse=True)
+        n = np.bincount(at, n)
         yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
 
 
@@ -161,7 +167,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, grams: int = 200_000, rare: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, grams: int = 200_000, rare: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Learn from `labels` and `docs`; without rows of both classes, every score is the share of toxic rows."""
     rows = training_rows(docs, labels, sample, id_col, text_col)
     counted = checkpointed(rows.select("half", "toxic", "text").mapInArrow(_counts, "u long, w long, a0 long, a1 long, b0 long, b1 long").groupBy("u", "w").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")]))
@@ -213,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000, grams: int = 2
     other = sc.broadcast({0: models["b"], 1: models["a"]})
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, "text")):
             code, first = coded(pa.chunked_array([b["text"]]))
             half = numbers_of(b["half"])
             f = np.where((half == 0)[:, None], features(other.value[0], code, first), features(other.value[1], code, first))
@@ -230,7 +236,7 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
     held = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, "text")):
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(held.value.scores(pa.chunked_array([b["text"]])))], ["id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(f, "id long, score double")
@@ -244,7 +250,9 @@ def keep_civil(docs: DataFrame, labels: DataFrame, limit: float = 0.7, text_col:
     def s(text):
         import pandas as pd
 
-        return pd.Series(held.value.scores(pa.chunked_array([pa.array(text.fillna("").astype(str), pa.string())])))
+        whole = pa.RecordBatch.from_arrays([pa.array([x or "" for x in text], pa.large_string())], ["text"])
+        got = [held.value.scores(pa.chunked_array([b["text"]])) for b in slices(whole, "text")]
+        return pd.Series(np.concatenate(got) if got else np.empty(0))
 
     return docs.where(s(F.col(text_col).cast("string")) < limit)
 

@@ -136,7 +136,7 @@ def runs(spec: Windows, tok: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, .
     return d[at[ok]], at[ok], count[ok], m[at[ok]]
 
 
-def earlier(spec: Windows, rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def earlier(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """The smallest document that has each window, from suffix order.
 
     `rank` is each window's place in suffix order cut at the window's length: neighbours of
@@ -144,7 +144,7 @@ def earlier(spec: Windows, rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
     previous and the next smaller value of the document are found as running minima from
     both sides, and the smaller of the two is the earliest document of the factor.
     """
-    order = np.lexsort((np.arange(len(rank)), rank))
+    order = np.argsort(rank)
     r, d = rank[order], doc[order]
     first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
     previous_next = np.minimum.reduceat(d, first) if len(first) else d
@@ -157,7 +157,7 @@ def dense(*keys: np.ndarray) -> np.ndarray:
     """Dense ranks, in order, of tuples of keys."""
     if not len(keys[0]):
         return np.empty(0, np.int64)
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0])
     new = np.zeros(len(order), bool)
     for k in keys:
         s = k[order]
@@ -167,8 +167,8 @@ def dense(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_ranks(tok: np.ndarray, depth: int) -> np.ndarray:
-    """Place of every position in the order of the suffixes, compared up to `depth` tokens, by prefix doubling.
+def suffix_ranks(tok: np.ndarray, depth: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Place of every position, or of those `at` only, in the order of the suffixes, compared up to `depth` tokens, by prefix doubling.
 
     Positions closer than `depth` to the end are compared up to the end. Bytes start from eight at once, as they fit one number.
     """
@@ -186,9 +186,12 @@ def suffix_ranks(tok: np.ndarray, depth: int) -> np.ndarray:
         step = min(have, depth - have)
         after = np.full(n, -1, np.int64)
         after[: max(0, n - step)] = rank[step:]
-        rank = dense(rank * (int(rank.max(initial=0)) + 2) + after + 1)
         have += step
-    return rank
+        key = rank * (int(rank.max(initial=0)) + 2) + after + 1
+        if at is not None and have >= depth:
+            return dense(key[at])
+        rank = dense(key)
+    return rank if at is None else rank[at]
 
 
 # ---- steps on groups of documents -------------------------------------------------------
@@ -206,6 +209,15 @@ def _group(left: pa.Table, right: pa.Table) -> tuple[int, np.ndarray, np.ndarray
     return (left["src"][0].as_py() if left.num_rows else right["src"][0].as_py()), first, np.array([x is not None and (x, a, b) in own for x, a, b in zip(*(left[c].to_pylist() for c in ("id", "k1", "k2")), strict=True)], bool)
 
 
+def _numbers(first: pa.Table) -> np.ndarray:
+    """A number within the group for each first text, the same in every step."""
+    order = np.lexsort((numbers_of(first["k1"]), numbers_of(first["id"])))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
+
+
+OCCURS = np.dtype([("id", "<i8"), ("number", "<i4"), ("at", "<i4")])
 ANCHORS = "anchor long, src int, n int"
 
 
@@ -261,10 +273,11 @@ def stretches_of(spec: Windows) -> Callable[[pa.Table, pa.Table], pa.Table]:
         hot = numbers_of(told["y"]) > 0
         order = np.argsort(known)
         known, hot = known[order], hot[order]
-        ids, texts = numbers_of(part["id"]), numbers_of(part["k1"])
+        ids = numbers_of(part["id"])
+        texts = _numbers(part)
         tok, off = tokens(spec, *bytes_of(part["text"]))
         doc, at, count, key = runs(spec, tok, off)
-        found: dict[tuple[int, bytes], list[int]] = {}
+        found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
         if len(known) and len(key):
             place = np.minimum(np.searchsorted(known, key), len(known) - 1)
             ok = known[place] == key
@@ -272,19 +285,19 @@ def stretches_of(spec: Windows) -> Callable[[pa.Table, pa.Table], pa.Table]:
             raw, size, w = tok.tobytes(), tok.itemsize, spec.window
             for d, x, o, i, c, k, h in zip(*(v.tolist() for v in (ids[doc], texts[doc], off[doc], at, count, key.view(np.int64), hot)), strict=True):
                 if not h:
-                    found.setdefault((k, raw[i * size : (i + c - 1 + w) * size]), []).extend((d, x, i - o))
+                    found.setdefault((k, raw[i * size : (i + c - 1 + w) * size]), []).append((d, x, i - o))
                     continue
                 for j in range(i, i + c):
                     one = raw[j * size : (j + w) * size]
-                    found.setdefault((xxhash.xxh64_intdigest(one) - 2**63, one), []).extend((d, x, j - o))
-        occurs = [np.array(v, np.int64).tobytes() for v in found.values()]
+                    found.setdefault((xxhash.xxh64_intdigest(one) - 2**63, one), []).append((d, x, j - o))
+        occurs = [np.array(v, OCCURS).tobytes() for v in found.values()]
         keys = list(found)
         return pa.table({"part": pa.array([k for k, _ in keys], pa.int64()), "src": pa.array(np.full(len(keys), src, np.int32)), "stretch": pa.array([s for _, s in keys], pa.binary()), "occurs": pa.array(occurs, pa.binary())})
 
     return f
 
 
-SPANS = "src int, k1 long, start long, stop long"
+SPANS = "src int, number int, start long, stop long"
 Kernel = Callable[[Windows, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -313,35 +326,33 @@ def match(spec: Windows, kernel: Kernel, tile: int = 1 << 21) -> Callable[[Itera
             # equal stretches of several groups are indexed once, for the smallest document
             index: dict[bytes, int] = {}
             which = np.array([index.setdefault(x, len(index)) for x in text[lo:hi]], np.int64)
-            where = [np.frombuffer(o, np.int64).reshape(-1, 3) for o in occurs[lo:hi]]
+            o = np.frombuffer(b"".join(occurs[lo:hi]), OCCURS)
+            row = np.repeat(np.arange(hi - lo), [len(x) // OCCURS.itemsize for x in occurs[lo:hi]])
+            st, group = which[row], src[lo:hi][row]
             least = np.full(len(index), np.iinfo(np.int64).max)
-            np.minimum.at(least, which, np.array([o[:, 0].min() for o in where], np.int64))
-            lens = np.array([len(x) // width for x in index], np.int64)
-            off = np.r_[0, np.cumsum(lens)]
-            tok = np.frombuffer(b"".join(index), dtype)
-            low = kernel(spec, tok, off, least)
-            out: list[tuple[int, int, int, int]] = []
-            for k in range(hi - lo):
-                a, b = off[which[k]], off[which[k] + 1] - spec.window + 1
-                mine = low[a:b]
-                step = np.r_[0, np.flatnonzero(mine[1:] != mine[:-1]) + 1, len(mine)].tolist()
-                value = [int(mine[s]) for s in step[:-1]]
-                g = int(src[lo + k])
-                for d, x, at in where[k].tolist():
-                    s0 = None
-                    for s, e, v in zip(step[:-1], step[1:], value, strict=True):
-                        if v < d:
-                            if s0 is not None and s0[1] == s:
-                                s0[1] = e
-                            else:
-                                if s0 is not None:
-                                    out.append((g, x, at + s0[0], at + s0[1] - 1 + spec.window))
-                                s0 = [s, e]
-                    if s0 is not None:
-                        out.append((g, x, at + s0[0], at + s0[1] - 1 + spec.window))
-                if len(out) > 50_000 or (k == hi - lo - 1 and out):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k_) for x, k_ in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["src", "k1", "start", "stop"])
-                    out = []
+            np.minimum.at(least, st, o["id"])
+            off = np.r_[0, np.cumsum([len(x) // width for x in index])]
+            low = kernel(spec, np.frombuffer(b"".join(index), dtype), off, least)
+            least_low = np.minimum.reduceat(low, off[:-1])
+            windows = np.diff(off) - spec.window + 1
+            own = np.arange(off[-1]) - np.repeat(off[:-1], np.diff(off)) < np.repeat(windows, np.diff(off))
+            most_low = np.maximum.reduceat(np.where(own, low, np.iinfo(np.int64).min), off[:-1])
+            hit = o["id"] > least_low[st]
+            whole = hit & (o["id"] > most_low[st])  # every window of the stretch is in an earlier document
+            at = o["at"].astype(np.int64)
+            out = [(group[whole], o["number"][whole], at[whole], at[whole] + windows[st[whole]] - 1 + spec.window)]
+            parts: list[tuple[int, int, int, int]] = []
+            rest = np.flatnonzero(hit & ~whole)
+            for k, d, g, x, i0 in zip(*(v[rest].tolist() for v in (st, o["id"], group, o["number"], at)), strict=True):
+                on = low[off[k] : off[k] + windows[k]] < d
+                edge = np.flatnonzero(on[1:] != on[:-1]) + 1
+                edge = [0, *edge.tolist(), len(on)]
+                parts += [(g, x, i0 + s, i0 + e - 1 + spec.window) for s, e in zip(edge[:-1], edge[1:], strict=True) if on[s]]
+            if parts:
+                out.append(tuple(np.array(v) for v in zip(*parts, strict=True)))
+            cols = [np.concatenate(v) for v in zip(*out, strict=True)]
+            for s in range(0, len(cols[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 100_000], k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["src", "number", "start", "stop"])
 
     return f
 
@@ -358,7 +369,9 @@ def kept_of(spec: Windows, with_text: bool) -> Callable[[pa.Table, pa.Table], pa
     def f(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_pylist([], pa.schema([("id", pa.int64()), ("row", left.schema.field("row").type), ("n", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]))
-        _, _, known = _group(left, right)
+        _, first, known = _group(left, right)
+        one = left.filter(first)
+        number = dict(zip(zip(one["id"].to_pylist(), one["k1"].to_pylist(), strict=True), _numbers(one).tolist(), strict=True))
         spans = right.filter(right["kind"].to_numpy() == 2)
         by: dict[int, list[int]] = {}
         for i, d in enumerate(spans["id"].to_pylist()):
@@ -368,7 +381,7 @@ def kept_of(spec: Windows, with_text: bool) -> Callable[[pa.Table, pa.Table], pa
         raw = buf.tobytes()
         out: list[tuple] = []
         for i, (d, x) in enumerate(zip(left["id"].to_pylist(), left["k1"].to_pylist(), strict=True)):
-            whole = raw[off[i] : off[i + 1]]
+            whole, x = raw[off[i] : off[i + 1]], number.get((d, x))
             parts = whole.split() if spec.unit == "words" else whole
             n = len(parts)
             if d is None or n < spec.window or (known[i] and x not in by):
@@ -411,7 +424,7 @@ def remove_repeats(docs: DataFrame, spec: Windows, kernel: Kernel, id_col: str,
     found = cogrouped(said, anchors_of(spec), ANCHORS).repartition(p, "anchor").mapInArrow(shared(spec.hot), SHARED)
     told = said.unionByName(found.select("src", F.lit(1).alias("kind"), none.cast("long").alias("id"), F.col("anchor").alias("x"), F.col("hot").cast("long").alias("y")))
     spans = cogrouped(told, stretches_of(spec), STRETCHES).repartition(p, "part").mapInArrow(match(spec, kernel), SPANS)
-    back = said.unionByName(spans.select("src", F.lit(2).alias("kind"), F.col("k1").alias("id"), F.col("start").alias("x"), F.col("stop").alias("y")))
+    back = said.unionByName(spans.select("src", F.lit(2).alias("kind"), F.col("number").cast("long").alias("id"), F.col("start").alias("x"), F.col("stop").alias("y")))
     row_type = base.schema["row"].dataType
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", row_type), *[T.StructField(c, T.LongType()) for c in ("n", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
     return cogrouped(back, kept_of(spec, with_text), schema)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from memlake.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("recall",)
+MODULES = ("agents", "facts", "graph", "memory", "rank", "scalars")
 
 
 def _load() -> None:
