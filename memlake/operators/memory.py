@@ -109,22 +109,15 @@ def lookback_pairs(turns: DataFrame, back: int = 40) -> DataFrame:
     return u.join(old, "session_id").where((F.col("old_rn") < F.col("rn")) & (F.col("rn") - F.col("old_rn") <= back))
 
 
-def pair_tfidf(a: Column, b: Column) -> Column:
-    """R2: cosine of two texts over their own words, rarer words of the two weighing more."""
-    x, y = fx.words(a), fx.words(b)
-    count = lambda w, all_: F.size(F.filter(all_, lambda v: v == w))
-
-    def vec(own: Column, other: Column) -> Column:
-        def weight(w: Column) -> Column:
-            idf = F.when(F.array_contains(other, w), F.log(F.lit(1.5))).otherwise(F.log(F.lit(2.0)))
-            return F.struct(w.alias("w"), (count(w, own) / F.size(own) * idf).alias("x"))
-
-        return F.transform(F.array_sort(F.array_distinct(own)), weight)
-
-    va, vb = vec(x, y), vec(y, x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e["x"] * e["x"]))
-    common = F.aggregate(va, F.lit(0.0), lambda s, e: s + e["x"] * F.coalesce(F.get(F.filter(vb, lambda o: o["w"] == e["w"]), F.lit(0))["x"], F.lit(0.0)))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), common / (norm(va) * norm(vb))).otherwise(0.0)
+def pair_tfidf(pairs: DataFrame, id_col: str, a: str, b: str) -> DataFrame:
+    """R2: id, sim: cosine of two texts over their own words; a word of both weighs ln 1.5, of one ln 2. Zero where either has no words."""
+    p = pairs.select(F.col(id_col).alias("id"), fx.words(F.col(a)).alias("x"), fx.words(F.col(b)).alias("y"))
+    p = p.select("id", F.size("x").alias("nx"), F.size("y").alias("ny"), F.concat(F.transform("x", lambda w: F.struct(F.lit(1).alias("mine"), w.alias("w"))), F.transform("y", lambda w: F.struct(F.lit(0).alias("mine"), w.alias("w")))).alias("t"))
+    t = p.select("id", "nx", "ny", F.explode_outer("t").alias("t")).groupBy("id", "nx", "ny", "t.w").agg(F.count_if(F.expr("t.mine = 1")).alias("cx"), F.count_if(F.expr("t.mine = 0")).alias("cy"))
+    idf = F.when((F.col("cx") > 0) & (F.col("cy") > 0), F.log(F.lit(1.5))).otherwise(F.log(F.lit(2.0)))
+    t = t.select("id", (F.col("cx") / F.greatest("nx", F.lit(1)) * idf).alias("wx"), (F.col("cy") / F.greatest("ny", F.lit(1)) * idf).alias("wy"))
+    size = F.sqrt(F.sum(F.col("wx") * F.col("wx")) * F.sum(F.col("wy") * F.col("wy")))
+    return t.groupBy("id").agg(F.round(F.coalesce(F.try_divide(F.sum(F.col("wx") * F.col("wy")), size), F.lit(0.0)), 6).alias("sim"))
 
 
 def allocation(window: int, share: float = 0.60) -> dict[str, int]:

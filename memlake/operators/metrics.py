@@ -58,4 +58,4 @@ def always_failed(runs_: DataFrame, runs: int) -> DataFrame:
 def first_per_session(hits: DataFrame, n: int = 3) -> DataFrame:
     """A session's score is the mean of its best n hits."""
     w = Window.partitionBy("query", "session_id").orderBy(F.desc("sim"), "id")
-    return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).groupBy("query", "session_id").agg(F.round(F.avg("sim"), 6).alias("score"))
+    return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).groupBy("query", "session_id").agg(F.round(F.avg("sim"), 9).alias("score"))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from memlake.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("agents", "facts", "graph", "memory", "rank", "scalars")
+MODULES = ("agents", "facts", "graph", "memory", "rank")
 
 
 def _load() -> None:

@@ -19,7 +19,7 @@ VIEWS = {
     "access": "SELECT event_id AS id, concat('a', user_id % 10) AS agent, event_type AS source, least(1.0, value / 100) AS relevance, CASE WHEN event_type <> 'view' THEN least(1.0, value / 200) END AS feedback FROM {events}",
     "summaries": "SELECT doc_id AS id, concat('a', doc_id % 10) AS agent_id, 1 + doc_id % 3 AS level, text AS content, doc_id % 4 = 0 AS is_shared FROM {documents}",
     "cost_log": "SELECT o_custkey AS session_id, l_quantity AS input, l_linenumber AS output, l_extendedprice * 1e-6 AS cost FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
-    "attributes": "SELECT n_name AS scope_key, concat('market.', lower(c_mktsegment)) AS attribute_key, c_name AS value_text, CAST(c_acctbal / 1000 AS BIGINT) AS mention_count, c_custkey % 365 AS at, c_custkey AS fact_id FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey",
+    "attributes": "SELECT n_name AS scope_key, concat('market.', lower(c_mktsegment)) AS attribute_key, c_name AS value_text, CAST(floor(c_acctbal / 1000) AS BIGINT) AS mention_count, c_custkey % 365 AS at, c_custkey AS fact_id FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey",
 }
 TABLES = ("conversations", "documents", "embeddings", "orders", "events", "lineitem", "customer", "nation", "labels", "supplier", "part", "region", "pages", "benchmark")
 

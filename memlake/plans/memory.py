@@ -42,7 +42,7 @@ def pattern_mining(spark, sf):
     return op.mine_patterns(view(spark, sf, "turns"), "agent_id")
 
 
-A = with_("attributes") + """, v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope_key, attribute_key ORDER BY mention_count DESC, "at" DESC, fact_id DESC) AS value_place FROM attributes) WHERE value_place <= 6), k AS (SELECT scope_key, attribute_key, row_number() OVER (PARTITION BY scope_key ORDER BY max(mention_count) DESC, max("at") DESC, attribute_key DESC) AS key_place FROM v GROUP BY ALL)"""
+A = with_("attributes") + """, v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope_key, attribute_key ORDER BY mention_count DESC, "at" DESC, fact_id DESC) AS value_place FROM attributes) WHERE value_place <= 6), b AS (SELECT scope_key, attribute_key, max(mention_count) AS m, max("at") AS t FROM v GROUP BY ALL), k AS (SELECT scope_key, attribute_key, row_number() OVER (PARTITION BY scope_key ORDER BY m DESC, t DESC, attribute_key DESC) AS key_place FROM b)"""
 
 
 @query("profile_current", f"{A} SELECT scope_key, attribute_key, value_text, value_place, key_place FROM v JOIN k USING (scope_key, attribute_key) WHERE key_place <= 40")
@@ -84,7 +84,7 @@ SELECT p.id, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b *
 def pair_tfidf(spark, sf):
     t = view(spark, sf, "turns").select("id", "content")
     n = t.select((F.col("id") - 1).alias("id"), F.col("content").alias("next"))
-    return t.join(n, "id").select("id", F.round(op.pair_tfidf(F.col("content"), F.col("next")), 6).alias("sim"))
+    return op.pair_tfidf(t.join(n, "id"), "id", "content", "next")
 
 
 @query("rule_importance", f"""{T}, w AS (SELECT id, role, content, id % 1000 AS i, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') AS w FROM turns)

@@ -39,13 +39,13 @@ def session_diverse_topk(spark, sf):
     return rank.diverse(h, 10)
 
 
-@query("round_robin", f"{TFIDF}, h AS (SELECT query, id // 1000 AS session_id, id, sim FROM hits WHERE place <= 100), b AS (SELECT * FROM (SELECT query, session_id, row_number() OVER (PARTITION BY query ORDER BY max(sim) DESC, session_id) AS s_rank FROM h GROUP BY ALL) WHERE s_rank <= 12), o AS (SELECT *, row_number() OVER (PARTITION BY query, session_id ORDER BY sim DESC, id) AS own FROM h JOIN b USING (query, session_id)) SELECT query, session_id, id, sim, own, s_rank, row_number() OVER (PARTITION BY query ORDER BY own, s_rank) AS place FROM o")
+@query("round_robin", f"{TFIDF}, h AS (SELECT query, id // 1000 AS session_id, id, sim FROM hits WHERE place <= 100), m AS (SELECT query, session_id, max(sim) AS top FROM h GROUP BY ALL), b AS (SELECT * FROM (SELECT query, session_id, row_number() OVER (PARTITION BY query ORDER BY top DESC, session_id) AS s_rank FROM m) WHERE s_rank <= 12), o AS (SELECT *, row_number() OVER (PARTITION BY query, session_id ORDER BY sim DESC, id) AS own FROM h JOIN b USING (query, session_id)) SELECT query, session_id, id, sim, own, s_rank, row_number() OVER (PARTITION BY query ORDER BY own, s_rank) AS place FROM o")
 def round_robin(spark, sf):
     h = turn_hits(spark, sf, 100).select("query", F.expr("id div 1000").alias("session_id"), "id", "sim")
     return rank.round_robin(h)
 
 
-@query("session_scores", f"{TFIDF}, h AS (SELECT query, id // 1000 AS session_id, id, sim, row_number() OVER (PARTITION BY query, id // 1000 ORDER BY sim DESC, id) AS r FROM hits WHERE place <= 100) SELECT query, session_id, round(avg(sim), 6) AS score FROM h WHERE r <= 3 GROUP BY ALL")
+@query("session_scores", f"{TFIDF}, h AS (SELECT query, id // 1000 AS session_id, id, sim, row_number() OVER (PARTITION BY query, id // 1000 ORDER BY sim DESC, id) AS r FROM hits WHERE place <= 100) SELECT query, session_id, round(avg(sim), 9) AS score FROM h WHERE r <= 3 GROUP BY ALL")
 def session_scores(spark, sf):
     h = turn_hits(spark, sf, 100).select("query", F.expr("id div 1000").alias("session_id"), "id", "sim")
     return metrics.first_per_session(h)
