@@ -14,6 +14,7 @@ score, are merged step by step instead.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -92,12 +93,37 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def merged(self, text: str) -> list[str]:
+        """What merging leaves of a text of any length: pairs wait in a heap, best score and leftmost first."""
+        part: list[str] = list(text)
+        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(part) and (s := self.score.get(part[i] + part[j])) is not None:
+                heapq.heappush(heap, (-s, i, len(part[i]) + len(part[j])))
+
+        for i in range(len(part) - 1):
+            offer(i)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if not part[i] or j >= len(part) or len(part[i]) + len(part[j]) != size:
+                continue  # one of the two has merged otherwise since
+            part[i], part[j] = part[i] + part[j], ""
+            after[i] = after[j]
+            if after[j] < len(part):
+                before[after[j]] = i
+            if before[i] >= 0:
+                offer(before[i])
+            offer(i)
+        return [p for p in part if p]
+
     def stepwise(self, text: str) -> list[int]:
-        lead = len(text) - len(text.lstrip(SPACE))
         out = []
-        for run in ([text] if len(text) < 64 + lead else [text[:lead], text[lead:]]):
-            for p in self.merge(run):
-                out += [int(self.id[self.number[p]])] if p in self.number else [self.byte[b] for b in p.encode()]
+        for p in self.merged(text):
+            out += [int(self.id[self.number[p]])] if p in self.number else [self.byte[b] for b in p.encode()]
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
