@@ -1,8 +1,9 @@
 """Packing by cutting-stock column generation.
 
-A document's tokens, with its end, are cut into whole sequences and a rest. The rests'
-lengths form a histogram, at most one entry per length below a sequence, whatever the
-corpus' size. A linear program over patterns (how many rests of each length share a
+A document's tokens, with its end, are cut into whole sequences and a rest, and a rest
+into a multiple of a grain and what is left below the grain: rests of a third to half a sequence
+would otherwise leave a quarter of it empty. The pieces' lengths form a histogram, at most one
+entry per length below the grain and per multiple of it, whatever the corpus' size. A linear program over patterns (how many rests of each length share a
 sequence) is solved by column generation: a knapsack over the dual prices finds the next
 pattern, by dynamic programming. Patterns are rounded down; what is left over is packed
 first-fit decreasing, again as patterns. Documents of one length are ranked, and each
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from memlake.llm.common import checkpointed, numbers_of, partitions, table
 
 SPECIAL = "<|endoftext|>"
-ROUNDS = 3000  # of pricing; the program is then taken as it is
+ROUNDS = 400  # of pricing; the program is then taken as it is
 
 _encoder = None
 
@@ -50,8 +51,19 @@ def encoder(vocabulary: str):
     return _encoder[1]
 
 
-def pieces(docs: DataFrame, size: int, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
-    """Pieces of every document, cut every `size` tokens: id, row (a hash that tells rows of one id apart), start, length, ids_crc32, doc_tokens."""
+def cuts(n: int, size: int, grain: int) -> list[int]:
+    """Where pieces of n tokens start, and n."""
+    whole = n - n % size
+    out = list(range(0, whole, size))
+    if n > whole:
+        out.append(whole)
+        if (n - whole) > grain and (n - whole) % grain:
+            out.append(n - (n - whole) % grain)
+    return [*out, n]
+
+
+def pieces(docs: DataFrame, size: int, grain: int, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
+    """Pieces of every document: id, row (a hash that tells rows of one id apart), start, length, ids_crc32, doc_tokens."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -59,7 +71,8 @@ def pieces(docs: DataFrame, size: int, vocabulary: str, id_col: str, text_col: s
             out: list[tuple] = []
             for d, h, t in zip(*(b[c].to_pylist() for c in ("id", "row", "text")), strict=True):
                 ids = np.array([*encode(t), 0], "<u4")
-                out += [(d, h, i, min(size, len(ids) - i), zlib.crc32(ids[i : i + size].tobytes()), len(ids)) for i in range(0, len(ids), size)]
+                at = cuts(len(ids), size, grain)
+                out += [(d, h, i, j - i, zlib.crc32(ids[i:j].tobytes()), len(ids)) for i, j in zip(at[:-1], at[1:], strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["id", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
@@ -67,82 +80,127 @@ def pieces(docs: DataFrame, size: int, vocabulary: str, id_col: str, text_col: s
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(f, "id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def knapsack(price: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
-    """The most valuable pattern: how many of each length fit a sequence, by dynamic programming over capacities."""
+def knapsacks(price: np.ndarray, lengths: np.ndarray, size: int, most: int) -> tuple[list[np.ndarray], float]:
+    """The most valuable patterns that hold each of up to `most` lengths, best first, and the best value; by dynamic programming over capacities."""
     best = np.zeros(size + 1)
     took = np.full(size + 1, -1)
-    ok = price > 1e-12
-    at, value = np.flatnonzero(ok), price[ok]
-    own = lengths[at]
+    at = np.flatnonzero(price > 1e-12)
+    own, value = lengths[at], price[at]
+    upto = np.searchsorted(own, np.arange(size + 1), side="right").tolist()
     for c in range(1, size + 1):
-        n = int(np.searchsorted(own, c, side="right"))
         best[c] = best[c - 1]
-        if n:
+        if n := upto[c]:
             v = best[c - own[:n]] + value[:n]
             i = int(v.argmax())
             if v[i] > best[c] + 1e-12:
                 best[c], took[c] = v[i], at[i]
-    pattern, c = np.zeros(len(lengths), np.int64), size
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-            continue
-        pattern[took[c]] += 1
-        c -= int(lengths[took[c]])
-    return pattern
-
-
-def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and how often each is used in the linear program's basis, by the revised simplex method."""
+    # the nearest capacity below at which something was taken
+    down = np.maximum.accumulate(np.where(took >= 0, np.arange(size + 1), 0)).tolist()
+    total = value + best[size - own]
+    out = []
+    for k in np.argsort(-total, kind="stable")[:most].tolist():
+        if total[k] <= 1 + 1e-7:
+            break
+        pattern = np.zeros(len(lengths), np.int64)
+        pattern[at[k]] += 1
+        c = down[size - int(own[k])]
+        while c > 0:
+            pattern[took[c]] += 1
+            c = down[c - int(lengths[took[c]])]
+        out.append(pattern)
+    return out, float(total.max(initial=0.0))
+
+
+def first_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns, and how often each, of first-fit decreasing over length classes; they hold all of `left`."""
+    left, out = left.astype(np.int64).copy(), []
+    while left.any():
+        a, room = np.zeros_like(left), size
+        for i in range(len(lengths) - 1, -1, -1):
+            if lengths[i] <= room and left[i]:
+                n = min(int(left[i]), room // int(lengths[i]))
+                a[i], room = n, room - n * int(lengths[i])
+        on = a > 0
+        n = int((left[on] // a[on]).min())
+        out.append((a, n))
+        left -= n * a
+    return out
+
+
+def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int = ROUNDS, columns: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (columns) and how often each is used in the linear program's optimum, by the revised simplex method.
+
+    The program over the patterns so far, first-fit's to begin with, is solved; its prices
+    then ask for up to `columns` new patterns. It ends at the optimum, or as soon as half a
+    sequence or a ten-thousandth is left to the best lower bound: the tokens over the size, or
+    the program's value over the best price. Demands are raised by random parts of a
+    thousandth, so that few pivots are idle.
+    """
     m = len(lengths)
-    basis = np.diag(np.maximum(1, size // lengths)).astype(float)
-    inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ demand
-    for k in range(rounds):
-        price = inverse.sum(axis=0)
-        new = knapsack(price, lengths, size).astype(float)
-        if price @ new <= 1 + 1e-7:
+    asked, demand = demand, demand * (1 + 1e-3 * np.random.Generator(np.random.PCG64(6)).random(m))
+    # one length each to begin with; columns of -1 let a pattern hold less than it has room for
+    pool = np.c_[np.diag(np.maximum(1, size // lengths)), -np.eye(m), np.array([a for a, _ in first_fit(lengths, asked, size)]).T].astype(float)
+    cost = np.r_[np.ones(m), np.zeros(m), np.ones(pool.shape[1] - 2 * m)]
+    basis = np.arange(m)
+    least, pivots = float(lengths @ demand) / size, 0
+
+    def solved() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        inverse = np.linalg.inv(pool[:, basis])
+        return inverse, np.maximum(inverse @ demand, 0), cost[basis] @ inverse
+
+    inverse, x, price = solved()
+    for _ in range(rounds):
+        for _ in range(40 * m):
+            gain = price @ pool - cost
+            j = int(gain.argmax())
+            if gain[j] <= 1e-7:
+                break
+            d = inverse @ pool[:, j]
+            ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
+            out = int(ratio.argmin())
+            step = ratio[out]
+            if not np.isfinite(step):
+                break
+            row = inverse[out] / d[out]
+            inverse -= np.outer(d, row)
+            inverse[out] = row
+            price = price - gain[j] * row
+            x = np.maximum(x - step * d, 0)
+            x[out] = step
+            basis[out] = j
+            pivots += 1
+            if pivots % 250 == 0:
+                inverse, x, price = solved()
+        found, top = knapsacks(price, lengths, size, columns)
+        value = float(cost[basis] @ x)
+        least = max(least, value / max(top, 1.0))
+        if not found or value - least <= max(0.5, 1e-4 * value):
             break
-        d = inverse @ new
-        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
-        out = int(ratio.argmin())
-        basis[:, out] = new
-        row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
-        inverse[out] = row
-        if k % 200 == 199:
-            inverse = np.linalg.inv(basis)
-        x = np.maximum(inverse @ demand, 0)
-    return basis.astype(np.int64), x
+        pool = np.c_[pool, np.array(found).T]
+        cost = np.r_[cost, np.ones(len(found))]
+    own = cost[basis] > 0
+    x = np.maximum(np.linalg.solve(pool[:, basis], asked.astype(float)), 0)
+    return pool[:, basis[own]].astype(np.int64), x[own]
 
 
 def plan(lengths: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
     """Patterns with their number of sequences; together they hold each length as often as `demand` says."""
     if not len(lengths):
         return []
-    basis, x = column_generation(lengths, demand.astype(float), size)
+    patterns, x = column_generation(lengths, demand, size)
     left, out = demand.astype(np.int64).copy(), []
     for j in np.argsort(-x, kind="stable").tolist():
-        a = basis[:, j]
+        a = patterns[:, j]
         on = a > 0
         n = min(int(x[j] + 1e-6), int((left[on] // a[on]).min()))
         if n > 0:
             out.append((a, n))
             left -= n * a
-    # what rounding leaves: at most the sequences of the basis, first-fit decreasing by length classes
-    while left.any():
-        a, room = np.zeros_like(left), size
-        for i in range(len(lengths) - 1, -1, -1):
-            n = min(int(left[i]), room // int(lengths[i]))
-            a[i], room = n, room - n * int(lengths[i])
-        on = a > 0
-        n = int((left[on] // a[on]).min())
-        out.append((a, n))
-        left -= n * a
-    return out
+    # what rounding leaves
+    return out + first_fit(lengths, left, size)
 
 
-def pack(docs: DataFrame, size: int = 1024, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = 1024, grain: int = 256, vocabulary: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document, null texts as empty, into sequences of at most `size` tokens.
 
     Each document's ids end with id 0. Returns a row per piece: doc_id, start, length,
@@ -153,7 +211,7 @@ def pack(docs: DataFrame, size: int = 1024, vocabulary: str = "byte_bpe_50k.json
     """
     spark = docs.sparkSession
     p = partitions(spark)
-    cut = checkpointed(pieces(docs, size, vocabulary, id_col, text_col))
+    cut = checkpointed(pieces(docs, size, grain, vocabulary, id_col, text_col))
     histogram = cut.where(F.col("length") < size).groupBy("length").count().orderBy("length").collect()  # fewer than `size` rows
     lengths = np.array([r[0] for r in histogram], np.int64)
     demand = np.array([r[1] for r in histogram], np.int64)

@@ -22,9 +22,9 @@ def test_every_id_once(spark, slow):
     words = ["the", "ation", "Éa", "\n", "12", "  ", "it's", "日本", "<|endoftext|>"]
     rows = [(i, " ".join(r.choices(words, k=r.choice([0, 1, 5, 40, 200, 900])))) for i in range(120)]
     rows += [(None, None), (3, rows[3][1]), (7, ""), (8, "a" * 5000), (9, "word " * 4000)]
-    size = 128
+    size, grain = 128, 32
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, length int").repartition(3)
-    got = packing.pack(df, size).collect()
+    got = packing.pack(df, size, grain).collect()
     want = sorted((d if d is not None else -1, tuple([*slow.encode(t or "", add_special_tokens=False).ids, 0])) for d, t in rows)
     left = defaultdict(list)
     for d, ids in want:
@@ -35,7 +35,9 @@ def test_every_id_once(spark, slow):
         by[(x.doc_id if x.doc_id is not None else -1, x.doc_tokens)].append(x)
     for (d, n), xs in by.items():
         own = [ids for ids in left[d] if len(ids) == n]
-        crc = sorted((i, min(size, n - i), zlib.crc32(np.array(ids[i : i + size], "<u4").tobytes())) for ids in own for i in range(0, n, size))
+        at = packing.cuts(n, size, grain)
+        assert at[0] == 0 and at == sorted(set(at)) and max(np.diff(at)) <= size
+        crc = sorted((i, j - i, zlib.crc32(np.array(ids[i:j], "<u4").tobytes())) for ids in own for i, j in zip(at[:-1], at[1:], strict=True))
         assert sorted((x.start, x.length, x.ids_crc32) for x in xs) == crc
     assert sum(x.length for x in got) == sum(len(ids) for _, ids in want)
     seqs = defaultdict(list)
@@ -70,8 +72,9 @@ def test_knapsack_is_best():
     for _ in range(20):
         price = r.random(4)
         best = max((np.array([a, b, c, d]) @ price for a in range(8) for b in range(5) for c in range(3) for d in range(3) if np.array([a, b, c, d]) @ lengths <= 23))
-        got = packing.knapsack(price, lengths, 23)
-        assert got @ lengths <= 23 and abs(got @ price - best) < 1e-9
+        found, top = packing.knapsacks(price * 2, lengths, 23, 4)
+        assert abs(top - 2 * best) < 1e-9 and abs(found[0] @ price - best) < 1e-9
+        assert all(a @ lengths <= 23 for a in found)
 
 
 def test_empty(spark):
