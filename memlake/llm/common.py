@@ -81,6 +81,12 @@ def numbers_of(column: pa.ChunkedArray, dtype=np.int64) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
 
 
+def columns_of(df: DataFrame) -> dict[str, np.ndarray]:
+    """A result of bounded size, without nulls, as arrays; it comes to the driver as Arrow, not as rows."""
+    t = df.toArrow()
+    return {c: t[c].to_numpy(zero_copy_only=False) for c in t.column_names}
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph by large-star and small-star rounds.
 

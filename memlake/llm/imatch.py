@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import bytes_of, partitions, slices, table
+from memlake.llm.common import bytes_of, columns_of, partitions, slices, table
 from memlake.llm.toxicity import FOLD
 from memlake.llm.windows import C1, U, mix, words
 
@@ -62,7 +62,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", common: float = 0.2, rare:
     df = text.mapInArrow(f, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("w").isNull() | (F.col("n") >= rare))
     n = docs.count()
     band = df.where(F.col("w").isNotNull() & (F.col("n") <= common * n)).orderBy(F.desc("n"), "w").limit(words)
-    return np.sort(band.select("w").toPandas()["w"].to_numpy(np.int64).view(U))
+    return np.sort(columns_of(band.select("w"))["w"].astype(np.int64).view(U))
 
 
 def fingerprints(column, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import bytes_of, checkpointed, numbers_of, slices, table
+from memlake.llm.common import bytes_of, checkpointed, columns_of, numbers_of, slices, table
 from memlake.llm.windows import C1, U, mix, words
 
 D = 0.75
@@ -184,32 +184,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, grams: int = 2
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     seen = text.mapInArrow(_frequencies, "w long, n long").groupBy("w").agg(F.sum("n").alias("corpus"))
     size = seen.agg(F.sum("corpus"), F.count("*"))
-    words_kept = seen.join(F.broadcast(words_kept), "w", "right").crossJoin(F.broadcast(size.toDF("all_words", "all_types"))).toPandas()
-    contexts = most(context, "n", "u").toPandas()
-    bigrams = most(counted.select("u", "w", total.alias("n"), *[x.alias(f"c_{v}{c}") for (v, c), x in by.items()]), "n", "u", "w").toPandas()
+    words_kept = columns_of(seen.join(F.broadcast(words_kept), "w", "right").withColumn("corpus", F.coalesce("corpus", F.lit(0))))
+    all_words, all_types = (x or 0 for x in size.first())
+    contexts = columns_of(most(context, "n", "u"))
+    bigrams = columns_of(most(counted.select("u", "w", total.alias("n"), *[x.alias(f"c_{v}{c}") for (v, c), x in by.items()]), "n", "u", "w"))
     here = rows.groupBy("toxic").count().collect()
     n = {r.toxic: r["count"] for r in here}
-    if not n.get(0) or not n.get(1) or not len(words_kept):
+    if not n.get(0) or not n.get(1) or not len(words_kept["w"]):
         return Classifier(None, None, n.get(1, 0) / max(1, sum(n.values())))
 
     def model(v: str) -> Model:
         types = np.array([max(1, whole[f"t_{v}{c}"]) for c in (0, 1)], float)
         kinds = np.array([max(1, whole[f"k_{v}{c}"]) for c in (0, 1)], float)
         weight = np.minimum(1.0, D * kinds / types)
-        share = ((words_kept["corpus"].fillna(0) + 0.5) / (words_kept["all_words"] + 0.5 * words_kept["all_types"])).to_numpy()
-        t = np.array([words_kept[f"t_{v}{c}"].to_numpy() for c in (0, 1)], float)
-        w = words_kept["w"].to_numpy().view(U)
+        share = (words_kept["corpus"] + 0.5) / (all_words + 0.5 * all_types)
+        t = np.array([words_kept[f"t_{v}{c}"] for c in (0, 1)], float)
+        w = words_kept["w"].view(U)
         p = np.maximum(t - D, 0) / types[:, None] + weight[:, None] * share
-        u = contexts["u"].to_numpy().view(U)
-        c = np.array([contexts[f"c_{v}{k}"].to_numpy() for k in (0, 1)], float)
-        k = np.array([contexts[f"t_{v}{k}"].to_numpy() for k in (0, 1)], float)
+        u = contexts["u"].view(U)
+        c = np.array([contexts[f"c_{v}{k}"] for k in (0, 1)], float)
+        k = np.array([contexts[f"t_{v}{k}"] for k in (0, 1)], float)
         back = np.where(c > 0, D * k / np.maximum(c, 1), 1.0)
         ow, ou = np.argsort(w), np.argsort(u)
         w, p, u, back, c = w[ow], p[:, ow], u[ou], back[:, ou], c[:, ou]
-        bu, bw = bigrams["u"].to_numpy().view(U), bigrams["w"].to_numpy().view(U)
+        bu, bw = bigrams["u"].view(U), bigrams["w"].view(U)
         key = bigram(bu, bw)
         at, ok = Model._find(u, bu)
-        n2 = np.array([bigrams[f"c_{v}{k}"].to_numpy() for k in (0, 1)], float)
+        n2 = np.array([bigrams[f"c_{v}{k}"] for k in (0, 1)], float)
         seen = np.where(ok, np.maximum(n2 - D, 0) / np.maximum(c[:, at], 1), 0.0)
         ob = np.argsort(key)
         return Model(w, p, weight, u, back, key[ob], seen[:, ob])
@@ -225,9 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, grams: int = 2
             f = np.where((half == 0)[:, None], features(other.value[0], code, first), features(other.value[1], code, first))
             yield pa.RecordBatch.from_arrays([b["toxic"], *map(pa.array, f.T.copy())], ["toxic", "f0", "f1", "f2"])
 
-    x = rows.select("half", "toxic", "text").mapInArrow(crossed, "toxic int, f0 double, f1 double, f2 double").toPandas()
-    x = x.sort_values(list(x.columns))
-    curve = logistic(x[["f0", "f1", "f2"]].to_numpy(), x["toxic"].to_numpy(float))
+    x = rows.select("half", "toxic", "text").mapInArrow(crossed, "toxic int, f0 double, f1 double, f2 double")
+    x = columns_of(x)
+    x = np.stack([x[c] for c in ("toxic", "f0", "f1", "f2")], axis=1).astype(float)
+    x = x[np.lexsort(x.T[::-1])]
+    curve = logistic(x[:, 1:], x[:, 0])
     return Classifier(models["all"], curve, n[1] / (n[0] + n[1]))
 
 
