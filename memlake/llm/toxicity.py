@@ -8,9 +8,10 @@ are its log-likelihood ratio per word, that of its most toxic stretch of words,
 excess of strong words; a logistic curve over them, fitted on ratios from models of the
 other half of the training rows, is the score.
 
-Bounds, all parameters: labels are learned from at most `sample` training rows (by a hash
-of their id), and the models keep the `grams` most frequent words, contexts and bigrams
-each; this is all that is sent to every executor. Shared counts cover every document.
+Labels are learned from at most `sample` training rows (by a hash of their id). The models
+keep every word, context and bigram of these rows, rare ones too; that is all that is
+sent to every executor, and its size is bounded by the rows. Shared counts cover every
+document; a word of no training row has the same shared share in both classes, so it cancels out.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from memlake.llm.windows import C1, U, mix, words
 D = 0.75
 STRETCH = 8
 VIEWS = ("a", "b", "all")
+PIECES = 16
 FOLD = np.full(256, 32, np.uint8)
 FOLD[128:] = np.arange(128, 256)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -140,6 +142,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), *map(pa.array, cols)], ["u", "w", "a0", "a1", "b0", "b1"])
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams' hashes and, by view and class, their discounted shares of their contexts."""
+    for b in batches:
+        pair = bigram(numbers_of(b["u"]).view(U), numbers_of(b["w"]).view(U))
+        n = {f"{v}{c}": numbers_of(b[f"{v}{c}"]) for v in "ab" for c in (0, 1)}
+        n |= {f"all{c}": n[f"a{c}"] + n[f"b{c}"] for c in (0, 1)}
+        own = {x: (np.maximum(n[x] - D, 0) / np.maximum(numbers_of(b[f"c_{x}"]), 1)).astype(np.float32) for x in n}
+        yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), *map(pa.array, own.values())], ["pair", *own])
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of a batch of documents with their counts."""
     for b in batches:
@@ -167,27 +179,23 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, grams: int = 200_000, rare: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Learn from `labels` and `docs`; without rows of both classes, every score is the share of toxic rows."""
     rows = training_rows(docs, labels, sample, id_col, text_col)
     counted = checkpointed(rows.select("half", "toxic", "text").mapInArrow(_counts, "u long, w long, a0 long, a1 long, b0 long, b1 long").groupBy("u", "w").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")]))
     by = {(v, c): F.col(f"{v}{c}") if v != "all" else F.col(f"a{c}") + F.col(f"b{c}") for v in VIEWS for c in (0, 1)}
-    total = sum(by["all", c] for c in (0, 1))
-    word = counted.groupBy("w").agg(F.sum(total).alias("n"), *[F.count_if(x > 0).alias(f"t_{v}{c}") for (v, c), x in by.items()])
-    context = counted.groupBy("u").agg(F.sum(total).alias("n"), *[F.sum(x).alias(f"c_{v}{c}") for (v, c), x in by.items()], *[F.count_if(x > 0).alias(f"t_{v}{c}") for (v, c), x in by.items()])
+    word = counted.groupBy("w").agg(*[F.count_if(x > 0).alias(f"t_{v}{c}") for (v, c), x in by.items()])
+    context = counted.groupBy("u").agg(*[F.sum(x).alias(f"c_{v}{c}") for (v, c), x in by.items()], *[F.count_if(x > 0).alias(f"t_{v}{c}") for (v, c), x in by.items()])
     whole = word.agg(*[F.coalesce(F.sum(f"t_{v}{c}"), F.lit(0)).alias(f"t_{v}{c}") for v, c in by], *[F.count_if(F.col(f"t_{v}{c}") > 0).alias(f"k_{v}{c}") for v, c in by]).first()
-
-    def most(df: DataFrame, n: str, *keys: str):
-        return df.where(F.col(n) > rare).orderBy(F.desc(n), *keys).limit(grams)
-
-    words_kept = most(word, "n", "w")
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     seen = text.mapInArrow(_frequencies, "w long, n long").groupBy("w").agg(F.sum("n").alias("corpus"))
     size = seen.agg(F.sum("corpus"), F.count("*"))
-    words_kept = columns_of(seen.join(F.broadcast(words_kept), "w", "right").withColumn("corpus", F.coalesce("corpus", F.lit(0))))
+    words_kept = columns_of(seen.join(word, "w", "right").withColumn("corpus", F.coalesce("corpus", F.lit(0))))
     all_words, all_types = (x or 0 for x in size.first())
-    contexts = columns_of(most(context, "n", "u"))
-    bigrams = columns_of(most(counted.select("u", "w", total.alias("n"), *[x.alias(f"c_{v}{c}") for (v, c), x in by.items()]), "n", "u", "w"))
+    context = checkpointed(context.select("u", *[F.col(c).cast("int").alias(c) for c in context.columns if c != "u"]))
+    names = [f"{v}{c}" for v, c in by]
+    shares = checkpointed(counted.join(context.select("u", *[f"c_{x}" for x in names]), "u").mapInArrow(_shares, "pair long, " + ", ".join(f"{x} float" for x in ("a0", "a1", "b0", "b1", "all0", "all1"))))
+    contexts = columns_of(context)
     here = rows.groupBy("toxic").count().collect()
     n = {r.toxic: r["count"] for r in here}
     if not n.get(0) or not n.get(1) or not len(words_kept["w"]):
@@ -206,18 +214,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, grams: int = 2
         k = np.array([contexts[f"t_{v}{k}"] for k in (0, 1)], float)
         back = np.where(c > 0, D * k / np.maximum(c, 1), 1.0)
         ow, ou = np.argsort(w), np.argsort(u)
-        w, p, u, back, c = w[ow], p[:, ow], u[ou], back[:, ou], c[:, ou]
-        bu, bw = bigrams["u"].view(U), bigrams["w"].view(U)
-        key = bigram(bu, bw)
-        at, ok = Model._find(u, bu)
-        n2 = np.array([bigrams[f"c_{v}{k}"] for k in (0, 1)], float)
-        seen = np.where(ok, np.maximum(n2 - D, 0) / np.maximum(c[:, at], 1), 0.0)
-        ob = np.argsort(key)
-        return Model(w, p, weight, u, back, key[ob], seen[:, ob])
-
-    models = {v: model(v) for v in VIEWS}
+        w, p, u, back = w[ow], p[:, ow], u[ou], back[:, ou]
+        # ranges of hashes come one by one, so that the driver holds little besides the model itself
+        keys, seen = [], []
+        for i in range(PIECES):
+            some = columns_of(shares.where((F.shiftrightunsigned("pair", 60) == i) & (F.col(f"{v}0") + F.col(f"{v}1") > 0)).select("pair", f"{v}0", f"{v}1"))
+            key = some["pair"].view(U)
+            order = np.argsort(key)
+            keys.append(key[order])
+            seen.append(np.stack([some[f"{v}{k}"][order] for k in (0, 1)]))
+        return Model(w, p, weight, u, back, np.concatenate(keys), np.concatenate(seen, axis=1))
+
     sc = docs.sparkSession.sparkContext
-    other = sc.broadcast({0: models["b"], 1: models["a"]})
+    other = sc.broadcast({0: model("b"), 1: model("a")})
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in slices(whole, "text")):
@@ -228,10 +237,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, grams: int = 2
 
     x = rows.select("half", "toxic", "text").mapInArrow(crossed, "toxic int, f0 double, f1 double, f2 double")
     x = columns_of(x)
+    other.destroy()
     x = np.stack([x[c] for c in ("toxic", "f0", "f1", "f2")], axis=1).astype(float)
     x = x[np.lexsort(x.T[::-1])]
     curve = logistic(x[:, 1:], x[:, 0])
-    return Classifier(models["all"], curve, n[1] / (n[0] + n[1]))
+    return Classifier(model("all"), curve, n[1] / (n[0] + n[1]))
 
 
 def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

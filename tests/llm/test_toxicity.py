@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from memlake.llm import toxicity
@@ -69,3 +70,15 @@ def test_model_sums_to_one():
     m = toxicity.Model(word, np.array([[0.2, 0.3, 0.1], [0.1, 0.1, 0.5]]), np.array([0.4, 0.3]), np.array([9], np.uint64), np.array([[0.5], [1.0]]), np.sort(toxicity.bigram(np.array([9], np.uint64), np.array([1], np.uint64))), np.array([[0.5], [0.0]]))
     r = m.ratios(np.array([9, 9, 0], np.uint64), np.array([1, 2, 7], np.uint64))
     assert np.allclose(np.exp(r), [(0.1 * 1.0) / (0.2 * 0.5 + 0.5), 0.1 / (0.3 * 0.5), 0.3 / 0.4])
+
+
+def test_models_keep_every_word_and_bigram_of_the_training_rows(spark):
+    rows, labels = data(300)
+    rows = [(d, f"{t} once{d} twice{d // 2}") for d, t in rows]
+    c = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    learned = [t for d, t in rows if zlib.crc32(str(d).encode()) % 3 != 1]
+    code, first = toxicity.coded(pa.array(learned))
+    before = toxicity.pairs(code, first)
+    assert np.array_equal(c.model.word, np.unique(code))
+    assert np.array_equal(c.model.context, np.unique(before))
+    assert np.array_equal(c.model.pair, np.unique(toxicity.bigram(before, code)))
