@@ -1,17 +1,23 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
-
-Each class has an interpolated Kneser-Ney model of words: discounted bigrams, over
-discounted continuation counts, over one backoff distribution that both classes share and
-that is counted over all documents. What neither class has seen often enough falls to the
-shared counts, where the two likelihoods differ by a constant only. A document's features
-are its log-likelihood ratio per word, that of its most toxic stretch of words, and the
-excess of strong words; a logistic curve over them, fitted on ratios from models of the
-other half of the training rows, is the score.
-
-Labels are learned from at most `sample` training rows (by a hash of their id). The models
-keep every word, context and bigram of these rows, rare ones too; that is all that is
-sent to every executor, and its size is bounded by the rows. Shared counts cover every
-document; a word of no training row has the same shared share in both classes, so it cancels out.
+"""Toxicity by class-conditional Kneser-Ney models of the letters of words.
+
+Words are lower-cased runs of letters and digits. Each class has an interpolated
+Kneser-Ney model of the bytes of a word, given up to seven before them and the word's
+start: discounted counts of eight bytes over discounted continuation counts of seven, six
+and five, over one backoff distribution of four bytes that both classes share and that is
+counted over all documents. Spelling serves words that no training row has, and a rare
+expression falls back to counts where both classes agree.
+
+A word's evidence is its log-likelihood ratio, toxic over ordinary. Ratios within the
+noise of the estimate (`BAND`, which only such words as are really likelier in toxic
+texts exceed) count zero; the rest, summed and divided by the number of words, is a
+document's one feature. The score is a logistic curve over it, fitted on training rows
+by models of the other three quarters of the rows, both classes weighing alike; so 0.7
+means that the text is 2.3 times as likely under toxic as under ordinary documents.
+
+Labels are learned from at most `sample` training rows (by a hash of their id); the class
+models keep every gram of these rows, and that is all that is sent to every executor, so
+its size is bounded by the rows. Shared counts are gathered from every document by shuffle, and
+only those under grams of the training rows are sent: elsewhere they cancel out.
 """
 
 from __future__ import annotations
@@ -21,253 +27,316 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.common import bytes_of, checkpointed, columns_of, numbers_of, slices, table
-from memlake.llm.windows import C1, U, mix, words
-
-D = 0.75
-STRETCH = 8
-VIEWS = ("a", "b", "all")
-PIECES = 16
-FOLD = np.full(256, 32, np.uint8)
+from memlake.llm.windows import U, words
+
+ORDER = 8  # bytes of a gram; they fit one number
+SHARED = 4  # bytes of the grams that both classes share
+D = 0.95
+BAND = 2.0
+FOLDS = 4
+EDGE = 32
+FOLD = np.full(256, EDGE, np.uint8)
 FOLD[128:] = np.arange(128, 256)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
     FOLD[_c] = _c
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
     FOLD[_c] = _c + 32
-EDGE = U(0)  # stands before a document's first word
 
 
-def coded(column) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and each text's first word."""
-    buf, off = bytes_of(column)
-    code, _, _, first = words(FOLD[buf], off)
-    return code, first
+def plain(text_col: str) -> Column:
+    return F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
 
+def low(n: int) -> int:
+    return (1 << 8 * n) - 1
 
-def pairs(code: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The word before each word."""
-    before = np.r_[EDGE, code[:-1]] if len(code) else code
-    before[first[:-1][np.diff(first) > 0]] = EDGE
-    return before
 
+@dataclass
+class Spelled:
+    """The distinct words of some texts."""
 
-def bigram(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(u * C1 + w)
+    which: np.ndarray  # each word's place among the distinct ones
+    first: np.ndarray  # each text's first word
+    gram: np.ndarray  # grams of the distinct words' bytes, and of their ends
+    word: np.ndarray  # the distinct word of each gram
 
 
-@dataclass
-class Model:
-    """Log-likelihood ratios, toxic over ordinary, of the words and bigrams that are known."""
+def spelled(column, order: int = ORDER) -> Spelled:
+    buf, off = bytes_of(column)
+    buf = FOLD[buf]
+    code, start, end, first = words(buf, off)
+    if not len(code):
+        return Spelled(np.empty(0, np.int64), first, np.empty(0, U), np.empty(0, np.int64))
+    _, at, which = np.unique(code, return_index=True, return_inverse=True)
+    start, size = start[at], (end - start)[at]
+    word = np.repeat(np.arange(len(at)), size + 1)
+    head = np.cumsum(size + 1) - size - 1
+    into = np.arange(len(word)) - head[word]
+    last = into == size[word]
+    byte = buf[np.where(last, 0, start[word] + into)]
+    byte[last] = EDGE
+    gram = byte.astype(U)
+    for k in range(1, order):
+        back = into - k
+        gram |= np.where(back >= 0, byte[np.maximum(head[word] + back, 0)], np.where(back == -1, EDGE, 0)).astype(U) << U(8 * k)
+    return Spelled(which, first, gram, word)
+
+
+def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
 
-    word: np.ndarray  # sorted hashes
-    p: np.ndarray  # continuation probability by class, of each word
-    rest: np.ndarray  # by class, the shared distribution's weight for other words
+
+@dataclass
+class Level:
+    size: int  # bytes of a gram
+    gram: np.ndarray
+    ratio: np.ndarray  # log of the classes' probabilities' ratio
     context: np.ndarray
-    back: np.ndarray  # by class, each context's backoff weight
-    pair: np.ndarray
-    seen: np.ndarray  # by class, each pair's discounted share of its context
-
-    def ratios(self, before: np.ndarray, code: np.ndarray) -> np.ndarray:
-        p = np.empty((2, len(code)))
-        at, ok = self._find(self.word, code)
-        p[:] = np.where(ok, self.p[:, at], self.rest[:, None])
-        at, ok = self._find(self.context, before)
-        p *= np.where(ok, self.back[:, at], 1.0)
-        at, two = self._find(self.pair, bigram(before, code))
-        p += np.where(ok & two, self.seen[:, at], 0.0) * np.where(self._find(self.word, code)[1], 1.0, 0.0)
-        return np.log(p[1]) - np.log(p[0])
-
-    @staticmethod
-    def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-        return at, keys[at] == x
-
-
-def features(model: Model, code: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Three numbers for each document; those without words have zeros."""
-    n = np.diff(first)
-    out = np.zeros((len(n), 3))
+    back: np.ndarray  # log of the classes' backoff weights' ratio
+
+
+def levels(gram: np.ndarray, count: np.ndarray, shared: np.ndarray, p: np.ndarray) -> list[Level]:
+    """The models of both classes, longest grams first, from counts by class (2 rows) and shared probabilities of `shared` grams, all sorted."""
+    steps = [(gram, count)]
+    for n in range(ORDER - 1, SHARED, -1):
+        key, inv = np.unique(steps[-1][0] & U(low(n)), return_inverse=True)
+        steps.append((key, np.stack([np.bincount(inv, c > 0, len(key)) for c in steps[-1][1]])))
+    out: list[Level] = []
+    under, below = shared, np.stack([p, p])
+    for n, (key, c) in zip(range(SHARED + 1, ORDER + 1), reversed(steps), strict=True):
+        context, inv = np.unique(key >> U(8), return_inverse=True)
+        total = np.stack([np.bincount(inv, x, len(context)) for x in c])
+        kinds = np.stack([np.bincount(inv, x > 0, len(context)) for x in c])
+        back = np.where(total > 0, D * kinds / np.maximum(total, 1), 1.0)
+        at, ok = find(under, key & U(low(n - 1)))
+        now = np.maximum(c - D, 0) / np.maximum(total, 1)[:, inv] + back[:, inv] * np.where(ok, below[:, at], 1e-9)
+        out.append(Level(n, key, np.log(now[1] / now[0]).astype(np.float32), context, np.log(back[1] / back[0]).astype(np.float32)))
+        under, below = key, now
+    return out[::-1]
+
+
+def ratios(model: list[Level], gram: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each gram's last byte, given the others."""
+    out = np.zeros(len(gram))
+    left = np.arange(len(gram))
+    for level in model:
+        g = gram[left] & U(low(level.size))
+        at, ok = find(level.gram, g)
+        out[left[ok]] += level.ratio[at[ok]]
+        left, g = left[~ok], g[~ok]
+        at, ok = find(level.context, g >> U(8))
+        out[left[ok]] += level.back[at[ok]]
+    return out
+
+
+def evidence(model: list[Level], texts) -> np.ndarray:
+    """The feature of each text; one without words has none."""
+    s = spelled(texts)
+    n = np.diff(s.first)
+    out = np.zeros(len(n))
     full = np.flatnonzero(n)
-    if not len(full):
-        return out
-    r = model.ratios(pairs(code, first), code)
-    at = first[:-1][full]
-    out[full, 0] = np.add.reduceat(r, at) / n[full]
-    run = np.r_[0.0, np.cumsum(r)]
-    end = np.minimum(np.arange(len(r)) + STRETCH, np.repeat(first[1:], n))
-    out[full, 1] = np.maximum.reduceat((run[end] - run[:-1]) / STRETCH, at)
-    out[full, 2] = np.log1p(np.add.reduceat(np.maximum(r - 1.0, 0.0), at))
+    if len(full):
+        word = np.bincount(s.word, ratios(model, s.gram))
+        out[full] = np.add.reduceat(np.maximum(word - BAND, 0.0)[s.which], s.first[:-1][full]) / n[full]
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights (the last is the intercept) of a ridge logistic regression."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    ridge = np.diag(np.r_[np.full(x.shape[1], 1e-2), 1e-6]) * max(1.0, len(x) ** 0.5)
-    for _ in range(50):
+@dataclass
+class Curve:
+    floor: float
+    slope: float
+    start: float
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.log(x + self.floor) + self.start, -30, 30)))
+
+
+def curve(x: np.ndarray, y: np.ndarray) -> Curve:
+    """Logistic curve over the logarithm of the feature; both classes weigh half."""
+    floor = max(float(x[y == 0].mean()), 1e-6)
+    z = np.c_[np.log(x + floor), np.ones(len(x))]
+    middle, spread = z[:, 0].mean(), z[:, 0].std() + 1e-9
+    z[:, 0] = (z[:, 0] - middle) / spread
+    share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
+    w, ridge = np.zeros(2), np.diag([1.0, 1e-6])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((z * (share * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (share * (y - p)) - ridge @ w)
+        w += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
             break
-    return mean, scale, w
+    return Curve(floor, max(w[0], 0.0) / spread, w[1] - max(w[0], 0.0) * middle / spread)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> DataFrame:
-    """id, toxic, half, text of at most `sample` labelled rows that may be learned from."""
+    """id, toxic, fold, text of at most `sample` labelled rows that may be learned from."""
     ok = labels.select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     one = ok.groupBy("id").agg(F.max("toxic").alias("toxic"))
     some = one.orderBy(F.xxhash64("id"), "id").limit(sample)
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return text.join(F.broadcast(some), "id").withColumn("half", F.pmod(F.xxhash64(F.lit("half"), F.col("id")), F.lit(2)).cast("int"))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text"))
+    return text.join(F.broadcast(some), "id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)).cast("int"))
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams of a batch of training rows by half and class."""
+    """Grams of training rows by fold and class."""
+    for b in (x for whole in batches for x in slices(whole, "text")):
+        s = spelled(pa.chunked_array([b["text"]]))
+        slot = np.repeat(numbers_of(b["fold"]) * 2 + numbers_of(b["toxic"]), np.diff(s.first))
+        for k in range(2 * FOLDS):
+            n = np.bincount(s.which[slot == k], minlength=int(s.word[-1]) + 1 if len(s.word) else 0)[s.word]
+            g, n = _summed(s.gram[n > 0], n[n > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), k, np.int32)), pa.array(n.astype(np.int64))], ["gram", "slot", "n"])
+
+
+def _corpus(batches: Iterator[pa.RecordBatch], flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Short grams of all documents; a task adds up what it has before it sends it."""
+
+    def out(key, n):
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+
+    key, n = np.empty(0, U), np.empty(0, np.int64)
     for b in (x for whole in batches for x in slices(whole, "text")):
-        code, first = coded(pa.chunked_array([b["text"]]))
-        kind = (numbers_of(b["half"]) * 2 + numbers_of(b["toxic"])).astype(np.int64)
-        u, k = pairs(code, first), np.repeat(kind, np.diff(first))
-        order = np.lexsort((code, u))
-        u, w, k = u[order], code[order], k[order]
-        at = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])]) if len(u) else np.empty(0, np.int64)
-        cols = [np.add.reduceat((k == i).astype(np.int64), at) if len(at) else at for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), *map(pa.array, cols)], ["u", "w", "a0", "a1", "b0", "b1"])
-
-
-def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams' hashes and, by view and class, their discounted shares of their contexts."""
-    for b in batches:
-        pair = bigram(numbers_of(b["u"]).view(U), numbers_of(b["w"]).view(U))
-        n = {f"{v}{c}": numbers_of(b[f"{v}{c}"]) for v in "ab" for c in (0, 1)}
-        n |= {f"all{c}": n[f"a{c}"] + n[f"b{c}"] for c in (0, 1)}
-        own = {x: (np.maximum(n[x] - D, 0) / np.maximum(numbers_of(b[f"c_{x}"]), 1)).astype(np.float32) for x in n}
-        yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), *map(pa.array, own.values())], ["pair", *own])
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a batch of documents with their counts."""
-    for b in batches:
-        # counts of a batch's pieces are added up before they leave
-        got = [np.unique(coded(pa.chunked_array([x["text"]]))[0], return_counts=True) for x in slices(b, "text")]
-        if not got:
-            continue
-        w, n = (np.concatenate(v) for v in zip(*got, strict=True))
-        w, at = np.unique(w, return_inverse=True)
-        n = np.bincount(at, n)
-        yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
+        s = spelled(pa.chunked_array([b["text"]]), SHARED)
+        k, m = _summed(s.gram, np.bincount(s.which)[s.word] if len(s.which) else np.empty(0, np.int64))
+        key, n = _summed(np.r_[key, k], np.r_[n, m])
+        if len(key) > flush:
+            yield out(key, n)
+            key, n = key[:0], n[:0]
+    if len(key):
+        yield out(key, n)
+
+
+def shared_shares(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Kneser-Ney probability of each `wanted` gram of SHARED bytes by the counts of `corpus`: gram, p."""
+    steps = [corpus]
+    for n in range(SHARED - 1, 0, -1):
+        steps.append(steps[-1].groupBy(F.col("gram").bitwiseAND(low(n)).alias("gram")).agg(F.count("*").alias("n")))
+    p = None
+    for n, step in zip(range(1, SHARED + 1), reversed(steps), strict=True):
+        step = step.withColumn("h", F.shiftright("gram", 8))
+        context = step.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        step = step.join(context, "h").withColumn("under", F.col("gram").bitwiseAND(low(n - 1)))
+        step = step.withColumn("p", F.lit(1 / 256)) if p is None else step.join(p.withColumnRenamed("gram", "under"), "under")
+        if n == SHARED:
+            step = step.join(wanted, "gram", "left_semi")
+        p = step.select("gram", (F.greatest(F.col("n") - D, F.lit(0.0)) / F.col("total") + D * F.col("kinds") / F.col("total") * F.col("p")).alias("p"))
+    return p
+
+
+def _model_of(t: pa.Table) -> list[Level]:
+    """The models from rows of counts (slot from 0) and of shared probabilities (slot -1)."""
+    gram, slot = numbers_of(t["gram"]).view(U), numbers_of(t["slot"], np.int32)
+    is_shared = slot < 0
+    shared, p = gram[is_shared], t["p"].to_numpy()[is_shared]
+    order = np.argsort(shared)
+    n = numbers_of(t["n"])[~is_shared]
+    key, inv = np.unique(gram[~is_shared], return_inverse=True)
+    count = np.stack([np.bincount(inv, n * (slot[~is_shared] % 2 == c), len(key)) for c in (0, 1)])
+    return levels(key, count, shared[order], p[order])
 
 
 @dataclass
 class Classifier:
-    model: Model | None
-    curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None
+    model: list[Level] | None
+    curve: Curve | None
     prior: float
 
     def scores(self, texts) -> np.ndarray:
-        if self.model is None:
-            return np.full(len(texts), self.prior)
-        mean, scale, w = self.curve
-        z = (features(self.model, *coded(texts)) - mean) / scale @ w[:-1] + w[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        """Scores of lower-cased texts without nulls."""
+        return np.full(len(texts), self.prior) if self.model is None else self.curve(evidence(self.model, texts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Learn from `labels` and `docs`; without rows of both classes, every score is the share of toxic rows."""
-    rows = training_rows(docs, labels, sample, id_col, text_col)
-    counted = checkpointed(rows.select("half", "toxic", "text").mapInArrow(_counts, "u long, w long, a0 long, a1 long, b0 long, b1 long").groupBy("u", "w").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")]))
-    by = {(v, c): F.col(f"{v}{c}") if v != "all" else F.col(f"a{c}") + F.col(f"b{c}") for v in VIEWS for c in (0, 1)}
-    word = counted.groupBy("w").agg(*[F.count_if(x > 0).alias(f"t_{v}{c}") for (v, c), x in by.items()])
-    context = counted.groupBy("u").agg(*[F.sum(x).alias(f"c_{v}{c}") for (v, c), x in by.items()], *[F.count_if(x > 0).alias(f"t_{v}{c}") for (v, c), x in by.items()])
-    whole = word.agg(*[F.coalesce(F.sum(f"t_{v}{c}"), F.lit(0)).alias(f"t_{v}{c}") for v, c in by], *[F.count_if(F.col(f"t_{v}{c}") > 0).alias(f"k_{v}{c}") for v, c in by]).first()
-    text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    seen = text.mapInArrow(_frequencies, "w long, n long").groupBy("w").agg(F.sum("n").alias("corpus"))
-    size = seen.agg(F.sum("corpus"), F.count("*"))
-    words_kept = columns_of(seen.join(word, "w", "right").withColumn("corpus", F.coalesce("corpus", F.lit(0))))
-    all_words, all_types = (x or 0 for x in size.first())
-    context = checkpointed(context.select("u", *[F.col(c).cast("int").alias(c) for c in context.columns if c != "u"]))
-    names = [f"{v}{c}" for v, c in by]
-    shares = checkpointed(counted.join(context.select("u", *[f"c_{x}" for x in names]), "u").mapInArrow(_shares, "pair long, " + ", ".join(f"{x} float" for x in ("a0", "a1", "b0", "b1", "all0", "all1"))))
-    contexts = columns_of(context)
-    here = rows.groupBy("toxic").count().collect()
-    n = {r.toxic: r["count"] for r in here}
-    if not n.get(0) or not n.get(1) or not len(words_kept["w"]):
-        return Classifier(None, None, n.get(1, 0) / max(1, sum(n.values())))
-
-    def model(v: str) -> Model:
-        types = np.array([max(1, whole[f"t_{v}{c}"]) for c in (0, 1)], float)
-        kinds = np.array([max(1, whole[f"k_{v}{c}"]) for c in (0, 1)], float)
-        weight = np.minimum(1.0, D * kinds / types)
-        share = (words_kept["corpus"] + 0.5) / (all_words + 0.5 * all_types)
-        t = np.array([words_kept[f"t_{v}{c}"] for c in (0, 1)], float)
-        w = words_kept["w"].view(U)
-        p = np.maximum(t - D, 0) / types[:, None] + weight[:, None] * share
-        u = contexts["u"].view(U)
-        c = np.array([contexts[f"c_{v}{k}"] for k in (0, 1)], float)
-        k = np.array([contexts[f"t_{v}{k}"] for k in (0, 1)], float)
-        back = np.where(c > 0, D * k / np.maximum(c, 1), 1.0)
-        ow, ou = np.argsort(w), np.argsort(u)
-        w, p, u, back = w[ow], p[:, ow], u[ou], back[:, ou]
-        # ranges of hashes come one by one, so that the driver holds little besides the model itself
-        keys, seen = [], []
-        for i in range(PIECES):
-            some = columns_of(shares.where((F.shiftrightunsigned("pair", 60) == i) & (F.col(f"{v}0") + F.col(f"{v}1") > 0)).select("pair", f"{v}0", f"{v}1"))
-            key = some["pair"].view(U)
-            order = np.argsort(key)
-            keys.append(key[order])
-            seen.append(np.stack([some[f"{v}{k}"][order] for k in (0, 1)]))
-        return Model(w, p, weight, u, back, np.concatenate(keys), np.concatenate(seen, axis=1))
-
-    sc = docs.sparkSession.sparkContext
-    other = sc.broadcast({0: model("b"), 1: model("a")})
-
-    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for whole in batches for x in slices(whole, "text")):
-            code, first = coded(pa.chunked_array([b["text"]]))
-            half = numbers_of(b["half"])
-            f = np.where((half == 0)[:, None], features(other.value[0], code, first), features(other.value[1], code, first))
-            yield pa.RecordBatch.from_arrays([b["toxic"], *map(pa.array, f.T.copy())], ["toxic", "f0", "f1", "f2"])
-
-    x = rows.select("half", "toxic", "text").mapInArrow(crossed, "toxic int, f0 double, f1 double, f2 double")
-    x = columns_of(x)
-    other.destroy()
-    x = np.stack([x[c] for c in ("toxic", "f0", "f1", "f2")], axis=1).astype(float)
-    x = x[np.lexsort(x.T[::-1])]
-    curve = logistic(x[:, 1:], x[:, 0])
-    return Classifier(model("all"), curve, n[1] / (n[0] + n[1]))
+    """Learn from `labels` and `docs`; without rows of both classes that have words, every score is the share of toxic rows.
+
+    Of several labels of one id the toxic one holds; null labels, and any but 0 and 1, are none. Other columns do nothing.
+    """
+    rows = checkpointed(training_rows(docs, labels, sample, id_col, text_col))
+    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    nothing = Classifier(None, None, n.get(1, 0) / max(1, sum(n.values())))
+    if not n.get(0) or not n.get(1):
+        return nothing
+    counted = checkpointed(rows.select("fold", "toxic", "text").mapInArrow(_counts, "gram long, slot int, n long").groupBy("gram", "slot").agg(F.sum("n").alias("n")))
+    corpus = checkpointed(docs.select(plain(text_col).alias("text")).mapInArrow(_corpus, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    wanted = counted.select(F.col("gram").bitwiseAND(low(SHARED)).alias("gram")).distinct()
+    p = checkpointed(shared_shares(corpus, wanted).select("gram", F.lit(-1).alias("slot"), F.lit(0).cast("long").alias("n"), "p"))
+    counts = counted.select("gram", "slot", "n", F.lit(0.0).alias("p"))
+    # a model for each fold, of the rows of the others
+    others = counts.unionByName(p).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where("slot < 0 or shiftright(slot, 1) <> fold")
+
+    def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows or not left.num_rows:
+            return pa.table({"toxic": pa.array([], pa.int32()), "x": pa.array([], pa.float64())})
+        model = _model_of(left)
+        got = [(b["toxic"], evidence(model, pa.chunked_array([b["text"]]))) for whole in right.to_batches() for b in slices(whole, "text")]
+        return pa.table({"toxic": pa.chunked_array([t for t, _ in got]), "x": np.concatenate([x for _, x in got])})
+
+    tried = columns_of(others.groupBy("fold").cogroup(rows.select("fold", "toxic", "text").groupBy("fold")).applyInArrow(crossed, "toxic int, x double"))
+    y = tried["toxic"].astype(float)
+    if not (y == 0).any() or not (y == 1).any():
+        return nothing
+    order = np.lexsort((tried["x"], y))
+
+    def whole(t: pa.Table) -> pa.Table:
+        model = _model_of(t)
+        part = [(x.size, kind, key, value) for x in model for kind, key, value in ((0, x.gram, x.ratio), (1, x.context, x.back))]
+        return pa.table({
+            "size": np.concatenate([np.full(len(k), s, np.int8) for s, _, k, _ in part]),
+            "kind": np.concatenate([np.full(len(k), kind, np.int8) for _, kind, k, _ in part]),
+            "key": np.concatenate([k.view(np.int64) for _, _, k, _ in part]),
+            "value": np.concatenate([v for *_, v in part]),
+        })
+
+    built = checkpointed(counts.unionByName(p).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(whole, "size byte, kind byte, key long, value float"))
+    model = []
+    for s in range(ORDER, SHARED, -1):
+        two = []
+        for kind in (0, 1):
+            t = columns_of(built.where((F.col("size") == s) & (F.col("kind") == kind)).select("key", "value"))
+            at = np.argsort(t["key"].view(U))
+            two += [t["key"].view(U)[at], t["value"][at]]
+        model.append(Level(s, *two))
+    return Classifier(model, curve(tried["x"][order], y[order]), nothing.prior)
 
 
 def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1, higher: label 1 likelier) of every row. A null or empty text has the score of no evidence."""
+    """id and score (0 to 1, higher: label 1 likelier) of every row, repeated rows and null ids too. A null or empty text has the score of no evidence; long texts are read whole."""
     held = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for whole in batches for x in slices(whole, "text")):
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(held.value.scores(pa.chunked_array([b["text"]])))], ["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(f, "id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text")).mapInArrow(f, "id long, score double")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, limit: float = 0.7, text_col: str = "text") -> DataFrame:
-    """`docs` without those that score `limit` or more."""
+    """`docs` without those that score `limit` or more; all columns stay, whatever their names."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col))
 
     @F.pandas_udf("double")
     def s(text):
         import pandas as pd
 
-        whole = pa.RecordBatch.from_arrays([pa.array([x or "" for x in text], pa.large_string())], ["text"])
+        whole = pa.RecordBatch.from_arrays([pa.array(text, pa.large_string())], ["text"])
         got = [held.value.scores(pa.chunked_array([b["text"]])) for b in slices(whole, "text")]
         return pd.Series(np.concatenate(got) if got else np.empty(0))
 
-    return docs.where(s(F.col(text_col).cast("string")) < limit)
+    return docs.where(s(plain(text_col)) < limit)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
