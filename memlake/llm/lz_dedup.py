@@ -1,81 +1,90 @@
 """Substring dedup by relative Lempel-Ziv parsing over words.
 
-Stretches of words under one anchor form the reference block of that anchor; a stretch
-can share a window with no other block, so parsing it against its block is parsing it
-against every block. The block is indexed by a suffix array; each stretch is factored
-greedily into the longest pieces that a stretch of an earlier document also has. Factors
-of at least a window are duplicate spans; windows across a factor's boundary are checked.
+Stretches of words under one anchor form the reference block of that anchor (see
+windows.py); a stretch can share a window with no other block, so parsing it against its
+block is parsing it against every block. A block is indexed by one suffix array. Each
+stretch is factored greedily: the longest piece that a stretch of an earlier document
+also has, or one word where none has any, and on from there. Windows within a factor are
+repeats; those that start within one factor and end past it are looked up by themselves.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.windows import Windows, earlier, remove_repeats, suffix_ranks
+from memlake.llm.windows import Windows, dense, remove_repeats, smaller_neighbours
 
 
 class Block:
-    """A reference block: texts as arrays of words, indexed by one suffix array."""
-
-    def __init__(self, texts: list[list[bytes]]):
-        self.words = [w for t in texts for w in [*t, None]]  # None ends a text
-        codes = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
-        tok = np.array([codes.get(w, len(codes) + i) if w is not None else len(codes) + i for i, w in enumerate(self.words)], np.uint64)
-        self.order = np.argsort(suffix_ranks(tok, len(tok)), kind="stable").tolist() if len(tok) else []
-        self.codes = codes
-
-    def longest(self, text: list[bytes], i: int) -> int:
-        """Words from i on that the block has, by narrowing the range of suffixes a word at a time."""
-        lo, hi, k = 0, len(self.order), 0
-
-        def word(j: int) -> tuple[int, int]:
-            at = self.order[j] + k
-            w = self.words[at] if at < len(self.words) else None
-            return (1, at) if w is None else (0, self.codes[w])
-
-        while i + k < len(text) and text[i + k] in self.codes:
-            key = (0, self.codes[text[i + k]])
-            first = bisect_left(range(lo, hi), key, key=lambda j: word(j)) + lo
-            last = bisect_right(range(lo, hi), key, key=lambda j: word(j)) + lo
-            if first == last:
-                break
-            lo, hi, k = first, last, k + 1
-        return k
-
-
-def parse(text: list[bytes], blocks: list[Block], window: int) -> list[tuple[int, int]]:
-    """Spans of `text` under factors of at least `window` words.
-
-    The greedy parse takes the longest factor that any block has (one word where none has
-    any). A window may begin inside one factor and end in the next, so each start in the
-    last words before a boundary is looked up as well.
-    """
-    spans, i = [], 0
-    while i < len(text):
-        n = max([b.longest(text, i) for b in blocks], default=0)
-        if n >= window:
-            spans.append((i, i + n))
-        end = i + max(1, n)
-        for j in range(max(i + 1, end - window + 1), end):
-            if (m := max([b.longest(text, j) for b in blocks], default=0)) >= window:
-                spans.append((j, j + m))
-        i = end
-    return spans
+    """A suffix array over stretches of words, each of a document."""
+
+    def __init__(self, tok: np.ndarray, off: np.ndarray, doc: np.ndarray):
+        size = np.diff(off)
+        n = len(size)
+        # each stretch ends with an own code, so that no factor passes its end
+        self.start = off[:-1] + np.arange(n)
+        self.doc = np.repeat(doc, size + 1)
+        codes = np.empty(len(tok) + n, np.int64)
+        end = np.zeros(len(codes), bool)
+        end[self.start + size] = True
+        codes[~end] = dense(tok) + n
+        codes[end] = np.arange(n)
+        self.ends = end
+        # ranks[k] orders positions by the 2^k codes from there on; a place past the end comes first
+        self.ranks = [dense(codes)]
+        while 2 ** (len(self.ranks) - 1) <= int(size.max(initial=0)):
+            r, step = self.ranks[-1], 2 ** (len(self.ranks) - 1)
+            after = np.zeros(len(r), np.int64)
+            after[:-step] = r[step:] + 1
+            self.ranks.append(dense(r * (int(r.max(initial=0)) + 3) + after))
+        self.order = np.argsort(self.ranks[-1], kind="stable")
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of words that the suffixes at a and b begin with alike."""
+        n, last = np.zeros(len(a), np.int64), len(self.ends) - 1
+        for k in range(len(self.ranks) - 1, -1, -1):
+            same = (self.ranks[k][np.minimum(a + n, last)] == self.ranks[k][np.minimum(b + n, last)]) & (np.maximum(a, b) + n <= last)
+            n += same << k
+        return n
+
+    def longest(self) -> np.ndarray:
+        """For each position, the words from there on that a stretch of an earlier document has.
+
+        The longest match is with one of the nearest suffixes of an earlier document on either side.
+        """
+        prev, nxt = smaller_neighbours(self.doc[self.order])
+        out = np.zeros(len(self.order), np.int64)
+        for near in (prev, nxt):
+            some = np.flatnonzero(near >= 0)
+            here = self.order[some]
+            out[here] = np.maximum(out[here], self.common(here, self.order[near[some]]))
+        return out
+
+
+def parse(block: Block, window: int) -> np.ndarray:
+    """Positions of the block whose window an earlier document has, by greedy factors of every stretch, all stretches a factor at a time."""
+    longest = block.longest()
+    inside, check = np.zeros(len(longest) + 1, np.int64), np.zeros(len(longest) + 1, np.int64)
+    at = block.start[~block.ends[block.start]]
+    while len(at):
+        n = longest[at]
+        long = n >= window
+        np.add.at(inside, at[long], 1)
+        np.add.at(inside, at[long] + n[long] - window + 1, -1)
+        end = at + np.maximum(n, 1)
+        low = np.maximum(at + 1, end - window + 1)
+        np.add.at(check, low, 1)
+        np.add.at(check, end, -1)
+        at = end[~block.ends[end]]
+    return (np.cumsum(inside)[:-1] > 0) | ((np.cumsum(check)[:-1] > 0) & (longest >= window))
 
 
 def kernel(spec: Windows, tok: np.ndarray, off: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Smallest document with the window at each position of the block."""
-    size = np.diff(off)
-    doc = np.repeat(least, size)
-    at = np.arange(len(tok)) - np.repeat(off[:-1], size)
-    starts = np.flatnonzero(at <= np.repeat(size, size) - spec.window)
-    low = doc.copy()
-    low[starts] = earlier(suffix_ranks(tok, spec.window, starts), doc[starts])
-    return low
+    """Whether the window at each position is in a stretch of an earlier document."""
+    block = Block(tok, off, least)
+    return parse(block, spec.window)[~block.ends]
 
 
 def lz_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:

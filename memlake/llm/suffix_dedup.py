@@ -1,9 +1,9 @@
 """Suffix-array dedup: longest-previous-factor arrays over bytes.
 
-Positions in suffix order with the previous and next smaller document give each
-position's longest factor that an earlier document has. `lpf` is the plain form for one
-block; `suffix_dedup` runs it over a corpus, each block a partition of stretches that
-share anchors (see windows.py), with suffixes compared up to the window's length.
+Positions in suffix order with the previous and the next smaller document give each
+position's longest factor that an earlier document has. The array is built over blocks, each a partition of stretches that
+share anchors (see windows.py; a stretch can share a window with no other block). Only
+whether a factor is as long as a window matters, so suffixes are compared, and factors measured, up to that length.
 """
 
 from __future__ import annotations
@@ -12,60 +12,35 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.windows import Windows, earlier, remove_repeats, suffix_ranks
+from memlake.llm.windows import Windows, remove_repeats, smaller_neighbours, suffix_ranks
 
 
-def smaller_neighbours(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the previous and of the next strictly smaller value; -1 for none."""
-    n = len(value)
-    prev, nxt = np.full(n, -1), np.full(n, -1)
-    stack: list[int] = []
-    for i in range(n):
-        while stack and value[stack[-1]] >= value[i]:
-            stack.pop()
-        prev[i] = stack[-1] if stack else -1
-        stack.append(i)
-    stack.clear()
-    for i in range(n - 1, -1, -1):
-        while stack and value[stack[-1]] >= value[i]:
-            stack.pop()
-        nxt[i] = stack[-1] if stack else -1
-        stack.append(i)
-    return prev, nxt
+def longest_previous(tok: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
+    """For each position of `at`, `depth` if the `depth` tokens there also start at one of them with a smaller `doc`, else 0.
 
-
-def lpf(texts: list[bytes]) -> list[np.ndarray]:
-    """For each position of each text, the length of the longest factor that starts there and also starts in an earlier text. Factors end with their text."""
-    lens = [len(t) for t in texts]
-    if not sum(lens):
-        return [np.zeros(n, np.int64) for n in lens]
-    # each text ends with an own code, so that no factor passes its end
-    tok = np.concatenate([np.r_[np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(len(texts)), np.uint64(i)] for i, t in enumerate(texts)])
-    doc = np.repeat(np.arange(len(texts)), np.array(lens) + 1)
-    order = np.argsort(suffix_ranks(tok, len(tok)), kind="stable")
-    prev, nxt = smaller_neighbours(doc[order])
-
-    def common(a: int, b: int) -> int:
-        k = 0
-        while a + k < len(tok) and b + k < len(tok) and tok[a + k] == tok[b + k]:
-            k += 1
-        return k
-
-    out = np.zeros(len(tok), np.int64)
-    for i, at in enumerate(order):
-        out[at] = max((common(at, order[j]) for j in (prev[i], nxt[i]) if j >= 0), default=0)
-    ends = np.cumsum(np.array(lens) + 1)
-    return [out[e - n - 1 : e - 1] for e, n in zip(ends, lens, strict=True)]
+    Positions are in suffix order; where suffixes differ within `depth`, a factor is shorter than asked, so
+    smaller neighbours are sought within each run of suffixes that agree so far. Any smaller document of a run
+    makes the previous or the next one exist.
+    """
+    rank = suffix_ranks(tok, depth, at)
+    order = np.argsort(rank, kind="stable")
+    r = rank[order]
+    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
+    stop = np.append(first[1:], len(r))
+    prev, nxt = smaller_neighbours(doc[order], np.repeat(first, stop - first), np.repeat(stop, stop - first))
+    out = np.empty(len(at), np.int64)
+    out[order] = np.where((prev >= 0) | (nxt >= 0), depth, 0)
+    return out
 
 
 def kernel(spec: Windows, tok: np.ndarray, off: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Smallest document with the window at each position; positions too near a stretch's end keep their own."""
-    doc = np.repeat(least, np.diff(off))
-    at = np.arange(len(tok)) - np.repeat(off[:-1], np.diff(off))
-    starts = np.flatnonzero(at <= np.repeat(np.diff(off), np.diff(off)) - spec.window)
-    low = doc.copy()
-    low[starts] = earlier(suffix_ranks(tok, spec.window, starts), doc[starts])
-    return low
+    """Whether the longest previous factor at each position is a window; not so too near a stretch's end."""
+    size = np.diff(off)
+    into = np.arange(len(tok)) - np.repeat(off[:-1], size)
+    starts = np.flatnonzero(into <= np.repeat(size, size) - spec.window)
+    out = np.zeros(len(tok), bool)
+    out[starts] = longest_previous(tok, starts, np.repeat(least, size)[starts], spec.window) >= spec.window
+    return out
 
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:

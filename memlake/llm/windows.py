@@ -10,8 +10,8 @@ smallest hash among its grams, so equal windows have equal anchors, wherever the
    more than one document has is told back to those groups. A very frequent anchor so
    costs a row per group, not a row per document.
 3. Groups send the stretches of tokens under shared anchors, equal stretches once, to the
-   anchor's partition, where a kernel indexes the stretches and finds windows that an
-   earlier document has. Anchors of more than `hot` documents send each window under its
+   anchor's partition, where a kernel indexes the block of stretches and finds windows that an
+   earlier document has (suffix_dedup.py, lz_dedup.py). Anchors of more than `hot` documents send each window under its
    own hash instead, so that such an anchor spreads over all partitions.
 4. Spans return to the documents' groups.
 
@@ -136,21 +136,34 @@ def runs(spec: Windows, tok: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, .
     return d[at[ok]], at[ok], count[ok], m[at[ok]]
 
 
-def earlier(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The smallest document that has each window, from suffix order.
+def smaller_neighbours(value: np.ndarray, first: np.ndarray | None = None, stop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the previous and of the next strictly smaller value, -1 for none; within [first, stop) of each position, where given.
 
-    `rank` is each window's place in suffix order cut at the window's length: neighbours of
-    equal rank have a longest common prefix of at least a window. Within such a stretch the
-    previous and the next smaller value of the document are found as running minima from
-    both sides, and the smaller of the two is the earliest document of the factor.
+    Minima of the 2^k values up to each position are kept for every k, and positions step back, longest step first, while they pass nothing smaller.
     """
-    order = np.argsort(rank)
-    r, d = rank[order], doc[order]
-    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
-    previous_next = np.minimum.reduceat(d, first) if len(first) else d
-    out = np.empty_like(doc)
-    out[order] = np.repeat(previous_next, np.diff(np.append(first, len(r))))
-    return out
+    n = len(value)
+    start = np.zeros(n, np.int64) if first is None else first
+    end = np.full(n, n) if stop is None else stop
+    longest = int((end - start).max(initial=0))
+
+    def previous(v: np.ndarray, least: np.ndarray) -> np.ndarray:
+        table = [v]
+        while 2 ** len(table) < longest:
+            low, half = table[-1].copy(), 2 ** (len(table) - 1)
+            np.minimum(low[half:], table[-1][:-half], out=low[half:])
+            table.append(low)
+        at = np.arange(n) - 1
+        for k in range(len(table) - 1, -1, -1):
+            # a step of 2^k from `at` is over table[k][at], if it stays within bounds
+            step = (at - 2**k + 1 >= least) & (table[k][np.maximum(at, 0)] >= v)
+            at = np.where(step, at - 2**k, at)
+        return np.where((at >= least) & (v[np.maximum(at, 0)] < v), at, -1)
+
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    prev = previous(value, start)
+    nxt = previous(value[::-1], (n - end)[::-1])[::-1]
+    return prev, np.where(nxt < 0, -1, n - 1 - nxt)
 
 
 def dense(*keys: np.ndarray) -> np.ndarray:
@@ -301,8 +314,12 @@ SPANS = "src int, number int, start long, stop long"
 Kernel = Callable[[Windows, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def match(spec: Windows, kernel: Kernel, tile: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Spans of each document covered by windows that an earlier document has. `kernel` gets tokens, stretches' offsets and their smallest documents, and returns the smallest document at each position."""
+def match(spec: Windows, kernel: Kernel, tile: int = 1 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spans of each document covered by windows that an earlier document has.
+
+    `kernel` gets a block's tokens, its stretches' offsets and each stretch's smallest document, and says of each position
+    whether the window there also starts in a stretch of a smaller document. Documents that have a stretch besides the smallest have it all from an earlier one.
+    """
     dtype = np.uint8 if spec.unit == "bytes" else U
     width = np.dtype(dtype).itemsize
 
@@ -332,19 +349,15 @@ def match(spec: Windows, kernel: Kernel, tile: int = 1 << 21) -> Callable[[Itera
             least = np.full(len(index), np.iinfo(np.int64).max)
             np.minimum.at(least, st, o["id"])
             off = np.r_[0, np.cumsum([len(x) // width for x in index])]
-            low = kernel(spec, np.frombuffer(b"".join(index), dtype), off, least)
-            least_low = np.minimum.reduceat(low, off[:-1])
+            again = kernel(spec, np.frombuffer(b"".join(index), dtype), off, least)
             windows = np.diff(off) - spec.window + 1
-            own = np.arange(off[-1]) - np.repeat(off[:-1], np.diff(off)) < np.repeat(windows, np.diff(off))
-            most_low = np.maximum.reduceat(np.where(own, low, np.iinfo(np.int64).min), off[:-1])
-            hit = o["id"] > least_low[st]
-            whole = hit & (o["id"] > most_low[st])  # every window of the stretch is in an earlier document
             at = o["at"].astype(np.int64)
+            whole = o["id"] > least[st]
             out = [(group[whole], o["number"][whole], at[whole], at[whole] + windows[st[whole]] - 1 + spec.window)]
             parts: list[tuple[int, int, int, int]] = []
-            rest = np.flatnonzero(hit & ~whole)
-            for k, d, g, x, i0 in zip(*(v[rest].tolist() for v in (st, o["id"], group, o["number"], at)), strict=True):
-                on = low[off[k] : off[k] + windows[k]] < d
+            rest = np.flatnonzero(~whole & (np.add.reduceat(again, off[:-1], dtype=np.int64) > 0)[st])
+            for k, g, x, i0 in zip(*(v[rest].tolist() for v in (st, group, o["number"], at)), strict=True):
+                on = again[off[k] : off[k] + windows[k]]
                 edge = np.flatnonzero(on[1:] != on[:-1]) + 1
                 edge = [0, *edge.tolist(), len(on)]
                 parts += [(g, x, i0 + s, i0 + e - 1 + spec.window) for s, e in zip(edge[:-1], edge[1:], strict=True) if on[s]]

@@ -81,25 +81,51 @@ def test_long_document(spark):
     assert got[1].n - got[1].n_removed == 1 or got[1].n - got[1].n_removed == 2
 
 
-def test_lpf_plain():
-    r = random.Random(4)
-    texts = ["".join(r.choices("ab", k=r.randint(0, 12))).encode() for _ in range(8)]
-    for i, (t, got) in enumerate(zip(texts, suffix_dedup.lpf(texts))):
-        for p in range(len(t)):
-            want = max([k for k in range(len(t) - p + 1) if any(t[p : p + k] in e for e in texts[:i])], default=0)
-            assert got[p] == want
+def test_smaller_neighbours():
+    r = np.random.Generator(np.random.PCG64(4))
+    for n in (0, 1, 2, 9, 64, 65, 200):
+        v = r.integers(0, 12, n)
+        cut = np.sort(r.integers(0, n + 1, 5)) if n else np.zeros(0, int)
+        first = np.array([max([0, *cut[cut <= i]]) for i in range(n)], int)
+        stop = np.array([min([n, *cut[cut > i]]) for i in range(n)], int)
+        for a, b, lo, hi in ((None, None, np.zeros(n, int), np.full(n, n)), (first, stop, first, stop)):
+            prev, nxt = windows.smaller_neighbours(v, a, b)
+            for i in range(n):
+                assert prev[i] == max([j for j in range(lo[i], i) if v[j] < v[i]], default=-1)
+                assert nxt[i] == min([j for j in range(i + 1, hi[i]) if v[j] < v[i]], default=-1)
+
+
+def blocks(seed):
+    r = random.Random(seed)
+    texts = [[r.randint(0, 2) for _ in range(r.randint(1, 30))] for _ in range(9)]
+    docs = [r.randint(0, 5) for _ in texts]
+    return texts, docs, np.array([x for t in texts for x in t], np.uint64), np.r_[0, np.cumsum([len(t) for t in texts])], np.array(docs)
+
+
+def test_longest_previous_factors():
+    for seed in range(20):
+        texts, docs, tok, off, doc = blocks(seed)
+        got = lz_dedup.Block(tok, off, doc).longest()
+        flat = got[~lz_dedup.Block(tok, off, doc).ends]
+        w = 4
+        at = np.array([o + i for o, t in zip(off, texts) for i in range(len(t) - w + 1)], np.int64)
+        capped = dict(zip(at.tolist(), suffix_dedup.longest_previous(tok, at, np.repeat(doc, np.diff(off))[at], w).tolist()))
+        for t, d, o in zip(texts, docs, off):
+            for i in range(len(t)):
+                want = max((k for k in range(len(t) - i + 1) for u, e in zip(texts, docs) if e < d and any(u[j : j + k] == t[i : i + k] for j in range(len(u) - k + 1))), default=0)
+                assert flat[o + i] == want
+                if o + i in capped:
+                    assert capped[o + i] == (w if want >= w else 0)
 
 
 def test_parse_covers_every_window():
-    r = random.Random(5)
-    for _ in range(30):
-        ref = [[r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(0, 30))] for _ in range(3)]
-        text = [r.choice([b"a", b"b", b"c", b"d"]) for _ in range(40)]
-        spans = lz_dedup.parse(text, [lz_dedup.Block(ref[:2]), lz_dedup.Block(ref[2:])], 4)
-        got = {i for s, e in spans for i in range(s, e)}
-        have = {tuple(t[i : i + 4]) for t in ref for i in range(len(t) - 3)}
-        want = {j for i in range(len(text) - 3) if tuple(text[i : i + 4]) in have for j in range(i, i + 4)}
-        assert got == want
+    for seed in range(40):
+        texts, docs, tok, off, doc = blocks(seed)
+        block = lz_dedup.Block(tok, off, doc)
+        got = lz_dedup.parse(block, 4)[~block.ends]
+        for t, d, o in zip(texts, docs, off):
+            have = {tuple(u[j : j + 4]) for u, e in zip(texts, docs) if e < d for j in range(len(u) - 3)}
+            assert [bool(x) for x in got[o : o + len(t)]] == [len(t) - i >= 4 and tuple(t[i : i + 4]) in have for i in range(len(t))]
 
 
 def test_words_as_bytes_split():
