@@ -1,14 +1,20 @@
 """Document fingerprints by I-Match with randomised lexicons.
 
 The lexicon is the words of a band of inverse document frequency: not in more than
-`common` of the documents, in at least `rare`, and of those the `words` most frequent, so
-that it can be sent everywhere. A document's distinct terms of the lexicon, sorted, are
-hashed under 64 random subsets of the lexicon: a term belongs to one subset and has a
-random level, and a subset at level n keeps the terms of level n or more, a 2^-n part of
-it. A fingerprint has the subsets' hashes at the two levels that suit the document's
-number of terms, so that a subset holds about one of them: then two documents' subsets
-agree about as often as the share of their terms that they have in common.
-Texts of few terms, or of few within the lexicon, use all of their terms.
+`common` of the documents, and in at least one of `PAIRS` of the corpus's pairs of a
+document and a term (two documents at least). So no more than `PAIRS` words can be in it, and
+it is sent everywhere. A randomised lexicon keeps each word of the band by a seeded hash:
+half of them, an eighth, and so on, and for each size there are `SEEDS`. A document's
+distinct terms of a lexicon, sorted, are hashed as a sequence. Its fingerprint has the
+number of its terms in the band, the hash of all its terms, of those in the band, and of
+those in each randomised lexicon.
+
+A lexicon that keeps a share q of the words gives two documents equal hashes with
+probability (1 - q)^d, d the number of terms that one has and the other has not. Large
+lexicons so tell copies from near copies, small ones near copies from edited texts; d is
+estimated as its mean over how likely each number makes the hashes that agree, within what the
+numbers of terms a and b allow, and likeness is the share of both documents' terms that is left,
+1 - d / (a + b). Nothing depends on the document's size.
 """
 
 from __future__ import annotations
@@ -26,9 +32,12 @@ from memlake.llm.common import bytes_of, columns_of, partitions, slices, table
 from memlake.llm.toxicity import FOLD
 from memlake.llm.windows import C1, U, mix, words
 
-SUBSETS = 64
-AIM = 48  # terms kept at a document's level, at most
-FEW = 8
+PAIRS = 1_000_000
+SEEDS = 12
+SIZES = (1, 3, 5, 7, 9, 11, 13)  # a lexicon keeps one word of 2^n
+FIELDS = 3 + SEEDS * len(SIZES)
+DIFFERENT = np.r_[0.0, 2.0 ** np.arange(0, 18, 0.25)]  # numbers of differing terms that are tried
+RANGE = 8_000_000  # bytes of text in a range of ids, about
 
 
 def terms(column) -> tuple[np.ndarray, np.ndarray, int]:
@@ -42,8 +51,8 @@ def terms(column) -> tuple[np.ndarray, np.ndarray, int]:
     return code[new], doc[new], len(off) - 1
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", common: float = 0.2, rare: int = 2, words: int = 131_072) -> np.ndarray:
-    """Sorted hashes of the band's words; document frequencies are of all documents."""
+def lexicon(docs: DataFrame, text_col: str = "text", common: float = 0.2, pairs: int = PAIRS) -> np.ndarray:
+    """Sorted hashes of the band's words, `pairs` at most by its lower edge; document frequencies are of all documents."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,64 +65,70 @@ def lexicon(docs: DataFrame, text_col: str = "text", common: float = 0.2, rare:
             w, at = np.unique(w, return_inverse=True)
             df = np.bincount(at, df).astype(np.int64)
             # the count of documents travels as a word of its own, null
-            yield pa.RecordBatch.from_arrays([pa.array([None, *w.view(np.int64).tolist()], pa.int64()), pa.array(np.r_[n, df].astype(np.int64))], ["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[0, w.view(np.int64)], mask=np.r_[True, np.zeros(len(w), bool)]), pa.array(np.r_[n, df].astype(np.int64))], ["w", "n"])
 
     text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    df = text.mapInArrow(f, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("w").isNull() | (F.col("n") >= rare))
-    n = docs.count()
-    band = df.where(F.col("w").isNotNull() & (F.col("n") <= common * n)).orderBy(F.desc("n"), "w").limit(words)
-    return np.sort(columns_of(band.select("w"))["w"].astype(np.int64).view(U))
-
-
-def fingerprints(column, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kind (0 no terms, 1 of the lexicon, 2 all terms), level, and the subsets' hashes at it and at the next, of each text."""
+    df = text.mapInArrow(f, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).persist()
+    whole = df.agg(F.sum(F.when(F.col("w").isNull(), F.col("n"))).alias("docs"), F.sum(F.when(F.col("w").isNotNull(), F.col("n"))).alias("pairs")).first()
+    edge = max(2, -(-(whole.pairs or 0) // pairs))
+    band = columns_of(df.where(F.col("w").isNotNull() & F.col("n").between(edge, common * (whole.docs or 0))).select("w"))["w"]
+    df.unpersist()
+    return np.sort(band.astype(np.int64).view(U))
+
+
+def _sequences(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """A 32-bit hash of each document's sequence of terms; `doc` ascends."""
+    size = np.bincount(doc, minlength=n)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros(n, U)
+    some = np.flatnonzero(size)
+    if len(some):
+        out[some] = np.add.reduceat(mix(code * C1 + at.astype(U)), np.cumsum(size)[some] - size[some])
+    return (mix(out + size.astype(U)) >> U(32)).astype(np.uint32)
+
+
+def fingerprints(column, band: np.ndarray) -> np.ndarray:
+    """A row of FIELDS numbers of 32 bits for each text."""
     code, doc, n = terms(column)
+    out = np.zeros((n, FIELDS), np.uint32)
+    out[:, 1] = _sequences(code, doc, n)
     inside = np.zeros(len(code), bool)
     if len(band):
         inside = band[np.minimum(np.searchsorted(band, code), len(band) - 1)] == code
-    total, own = np.bincount(doc, minlength=n), np.bincount(doc[inside], minlength=n)
-    use_all = (total <= AIM) | (own < FEW)
-    kind = np.where(total == 0, 0, np.where(use_all, 2, 1))
-    ok = inside | use_all[doc]
-    code, doc = code[ok], doc[ok]
-    size = np.where(use_all, total, own)
-    level = np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / AIM))).astype(np.int64)
-    h = mix(code + C1)
-    subset = (h & U(SUBSETS - 1)).astype(np.int64)
-    up = h >> U(6)
-    depth = np.bitwise_count((up & (~up + U(1))) - U(1)).astype(np.int64)  # trailing zeros
-    value = mix(h + C1)
-    out = np.zeros((n, 2, SUBSETS), U)
-    for k in (0, 1):
-        at = depth >= level[doc] + k
-        np.add.at(out, (doc[at], k, subset[at]), value[at])
-        some = np.zeros((n, SUBSETS), bool)
-        some[doc[at], subset[at]] = True
-        out[:, k] = np.where(some, mix(out[:, k]) % U(255) + U(1), U(0))
-    return kind, level, out.astype(np.uint8)
-
-
-def likeness(a, b) -> np.ndarray:
-    """Share of the subsets that either has terms in whose hashes agree, at the finest level that both have; 1 for two texts without terms."""
-    (ka, la, fa), (kb, lb, fb) = a, b
-    low = np.maximum(la, lb)
-    fit = (ka == kb) & (np.abs(la - lb) <= 1)
-    i = np.arange(len(ka))
-    x, y = fa[i, np.clip(low - la, 0, 1)], fb[i, np.clip(low - lb, 0, 1)]
-    some = ((x > 0) | (y > 0)).sum(axis=1)
-    same = ((x == y) & (x > 0)).sum(axis=1)
-    out = np.where(fit & (some > 0), same / np.maximum(some, 1), 0.0)
-    return np.where((ka == 0) & (kb == 0), 1.0, out)
-
-
-def written(f) -> list[str]:
-    kind, level, h = f
-    return [f"{k:x}{v:02x}{x.tobytes().hex()}" for k, v, x in zip(kind.tolist(), level.tolist(), h, strict=True)]
-
-
-def read(strings: list[str]):
-    raw = [np.frombuffer(bytes.fromhex(s[3:]), np.uint8).reshape(2, SUBSETS) for s in strings]
-    return np.array([int(s[0], 16) for s in strings]), np.array([int(s[1:3], 16) for s in strings]), np.stack(raw) if raw else np.empty((0, 2, SUBSETS), np.uint8)
+    code, doc = code[inside], doc[inside]
+    out[:, 0] = np.bincount(doc, minlength=n)
+    out[:, 2] = _sequences(code, doc, n)
+    for seed in range(SEEDS):
+        some, of, draw = code, doc, mix(code + np.array([seed + 1], U) * C1)
+        for k, size in enumerate(SIZES):
+            kept = draw < U(1 << 64 - size)
+            some, of, draw = some[kept], of[kept], draw[kept]
+            out[:, 3 + seed * len(SIZES) + k] = _sequences(some, of, n)
+    return out
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated share of both texts' terms of the band that are common, 0 to 1; for two texts without such terms, whether all their terms are the same."""
+    same = a[:, 3:] == b[:, 3:]
+    hits = same.reshape(len(a), SEEDS, len(SIZES)).sum(axis=1)
+    agree = np.log1p(-(2.0 ** -np.array(SIZES)))[:, None] * DIFFERENT  # log-probability of equal hashes
+    other = np.log(np.maximum(-np.expm1(agree), 1e-300))
+    likely = hits @ np.maximum(agree, -700.0) + (SEEDS - hits) @ other
+    x, y = a[:, 0].astype(float), b[:, 0].astype(float)
+    # sets of these sizes differ in so many terms at least, and in so many at most
+    likely[(DIFFERENT < np.abs(x - y)[:, None] / 1.2) | (DIFFERENT > np.maximum(x + y, 1)[:, None] * 1.2)] = -np.inf
+    weight = np.exp(likely - likely.max(axis=1, keepdims=True, where=np.isfinite(likely), initial=-1e300))
+    d = (weight @ DIFFERENT) / np.maximum(weight.sum(axis=1), 1e-300)
+    d = np.where(a[:, 2] == b[:, 2], 0.0, np.maximum(d, np.maximum(np.abs(x - y), 1.0)))
+    return np.where(x + y > 0, np.clip(1 - d / np.maximum(x + y, 1), 0.0, 1.0), (a[:, 1] == b[:, 1]).astype(float))
+
+
+def written(f: np.ndarray) -> list[str]:
+    return [x.tobytes().hex() for x in np.ascontiguousarray(f.astype(">u4"))]
+
+
+def read(strings: list[str]) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex("".join(strings)), ">u4").reshape(-1, FIELDS).astype(np.uint32)
 
 
 def fingerprint(docs: DataFrame, band: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +151,8 @@ def against_next(docs: DataFrame, band: np.ndarray, id_col: str = "doc_id", text
     range's first row also goes to the range before it, so no step orders all rows at once.
     """
     spark = docs.sparkSession
-    groups = 4 * partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    groups = max(4 * partitions(spark), int(size // RANGE))
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
     tops = ids.repartitionByRange(groups, "id").groupBy(F.spark_partition_id()).agg(F.max("id").alias("top")).collect()
     top = np.sort(np.array([r.top for r in tops], np.int64))  # one number per range
@@ -168,7 +184,7 @@ def against_next(docs: DataFrame, band: np.ndarray, id_col: str = "doc_id", text
         edited = [a[: len(a) - len(a) // 3] + b[: len(a) // 3] for a, b in zip(text, follow, strict=True)]
         f = fingerprints(pa.chunked_array([pa.array([*text, after[2]], pa.large_string())]), held.value)
         e = fingerprints(pa.chunked_array([pa.array(edited, pa.large_string())]), held.value)
-        mine, nxt = tuple(x[:-1] for x in f), tuple(x[1:] for x in f)
+        mine, nxt = f[:-1], f[1:]
         return pa.table({"doc_id": pa.array([r[3] for r in own], pa.int64()), "n_chars": pa.array([len(x) for x in text], pa.int64()), "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in edited], "fingerprint": written(mine), "edited_fingerprint": written(e), "near_edited": likeness(mine, e), "near_next": likeness(mine, nxt)})
 
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
