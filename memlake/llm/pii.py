@@ -1,11 +1,15 @@
 """Personal data: base expressions, and bootstrapped contextual extraction. All native.
 
-Base spans (email, ip, card, phone) are the seeds. Every identifier-like token, one with a
-digit, is an instance; the word before it and its shape are its lexical pattern. Seeds
+Base spans (email, ip, card, phone) are the seeds. Instances are loose candidates: mail-like strings, also
+such as `jane (at) host`, and runs of numbers with separators; one with a base match
+within is a seed of that kind. Its lexical patterns are the word before it, and that word with the word
+after it, each with its class (mail or number); its exact shape does not matter. (A word after alone says too little.) Seeds
 give patterns their first scores, patterns score their instances and instances their
-patterns, round by round, over the graph of distinct patterns and instances. Tokens that
-no base expression matched but that stand in patterns of high confidence become spans of
-the pattern's kind.
+patterns, round by round, over the graph of distinct patterns and instances. Candidates that
+touch no base span but stand in patterns of high confidence become spans of the pattern's kind.
+
+A frequent word's pattern has very many instances: patterns are joined to them under `SALTS` salts,
+so that no task holds all of one pattern's.
 
 Expressions are written so that no text takes more than linear time: a run of an
 expression's characters is entered at its start only, and is not given back.
@@ -26,7 +30,10 @@ BASE = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<![A-Za-z0-9@._%+/-])(?=[A-Za-z@._%+/-]*+[0-9])[A-Za-z0-9@._%+/-]++"
+MAIL = rf"(?<!{LOCAL}){LOCAL}++\x20?(?:@|[(\[]at[)\]])\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+"
+NUMBER = r"(?<![A-Za-z0-9])[+(]{0,2}[0-9]++(?:[\x20()./-]{1,3}+[0-9]++){0,11}+(?![A-Za-z0-9])"
+CANDIDATE = f"{MAIL}|{NUMBER}"
+SALTS = 16
 CHUNK = 128
 SPAN = "array<struct<start:int,k:int,end:int>>"
 
@@ -39,18 +46,19 @@ def matches(text: Column, expression: str, when: Column) -> Column:
 def placed(text: Column, found: Column, expression: str) -> Column:
     """Matches with their places in code points: the texts between matches say where each starts."""
     gaps = F.split(text, expression, -1)
-    both = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string,gap:string>>").alias("out"))
+    both = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), F.slice(gaps, F.lit(2), F.size(found)).alias("next"))
+    kind = "array<struct<start:int,end:int,hit:string,gap:string,next:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(64)).alias("gap"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(64)).alias("gap"), F.left(x["next"], F.lit(64)).alias("next"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     # arrays are appended to in chunks, so that a text of many matches isn't copied once a match
     chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int"))
-    outer = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,hit:string,gap:string>>>").alias("out"))
+    outer = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def chunk(acc: Column, c: Column) -> Column:
         own = F.aggregate(F.slice(both, c * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), zero["out"].alias("out")), step)
@@ -88,69 +96,95 @@ def _valid(found: Column, i: int, kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame, text: Column) -> DataFrame:
-    """`docs` with __base, the sorted base spans, and __tokens, the identifier-like tokens with what stands before them."""
+    """`docs` with __base, the sorted base spans, and __tokens, the loose candidates with what stands before and after them."""
     df = docs.withColumn("__text", text).withColumn("__digit", F.col("__text").rlike("[0-9]"))
     t, digit = F.col("__text"), F.col("__digit")
     asks = {"email": F.contains(t, F.lit("@")), "ip": digit & F.contains(t, F.lit(".")), "card": digit, "phone": digit & F.contains(t, F.lit("+"))}
-    df = df.withColumns({f"__m_{k}": matches(t, BASE[k], asks[k]) for k in KINDS} | {"__m_token": matches(t, TOKEN, digit)})
-    df = df.withColumns({f"__p_{k}": placed(t, F.col(f"__m_{k}"), BASE[k]) for k in KINDS} | {"__tokens": placed(t, F.col("__m_token"), TOKEN)})
+    df = df.withColumns({f"__m_{k}": matches(t, BASE[k], asks[k]) for k in KINDS} | {"__m_token": matches(t, CANDIDATE, digit | t.rlike(r"@|[(\[]at[)\]]"))})
+    df = df.withColumns({f"__p_{k}": placed(t, F.col(f"__m_{k}"), BASE[k]) for k in KINDS} | {"__tokens": placed(t, F.col("__m_token"), CANDIDATE)})
     spans = [_valid(F.col(f"__p_{k}"), i, k) for i, k in enumerate(KINDS)]
     df = df.withColumn("__base", F.array_sort(F.concat(*spans)))
     return df.drop("__digit", *[f"__m_{k}" for k in (*KINDS, "token")], *[f"__p_{k}" for k in KINDS])
 
 
-def instances(rows: DataFrame) -> DataFrame:
-    """A row per identifier-like token: key, start, end, token, before, shape, kind (of the base span that it touches, else null)."""
-    one = rows.select("key", "base", F.explode("tokens").alias("x"))
-    hit = F.regexp_replace(F.col("x.hit"), r"[._%+/@-]+$", "")
-    lead = F.length(F.col("x.hit")) - F.length(F.regexp_replace(F.col("x.hit"), r"^[._%+/@-]+", ""))
-    df = one.select("key", "base", (F.col("x.start") + lead).alias("start"), (F.col("x.start") + F.length(hit)).alias("end"), F.regexp_replace(hit, r"^[._%+/@-]+", "").alias("token"), F.lower(F.regexp_extract("x.gap", r"(\S{1,32}\s{0,2})$", 1)).alias("before"))
-    touch = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    shape = F.regexp_replace(F.regexp_replace("token", "[A-Za-z]+", "a"), "[0-9]+", "9")
-    return df.select("key", "start", "end", "token", F.rtrim("before").alias("before"), shape.alias("shape"), F.when(F.size(touch) > 0, touch[0]["k"]).alias("kind"))
+def instances(rows: DataFrame, shortest: int) -> DataFrame:
+    """A row per candidate and pattern: key, start, end, token, class, side, word, kind (of the base match within it, if one holds, else null).
+
+    Numbers have `shortest` digits at least. A pattern is a side (0 the word before, 1 the words before and after), lower-cased, and a class.
+    """
+    one = rows.select("key", F.explode("tokens").alias("x")).select("key", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.lower("x.hit").alias("token"), "x.gap", "x.next")
+
+    def has(kind: str) -> Column:
+        hit = F.regexp_extract("token", BASE[kind], 0)
+        return (hit != "") & holds(kind, hit)
+
+    kind = F.coalesce(*[F.when(has(k), F.lit(KINDS.index(k))) for k in ("email", "ip", "phone", "card")])
+    mail = F.col("token").rlike(r"[@a-z]")
+    df = one.where(mail | (F.length(F.regexp_replace("token", "[^0-9]", "")) >= shortest))
+    before = F.regexp_extract(F.lower(F.rtrim("gap")), r"(\S{1,32})$", 1)
+    after = F.regexp_extract(F.lower(F.ltrim("next")), r"^(\S{1,32})", 1)
+    both = F.when(after != "", F.concat_ws(" ", before, after)).otherwise(F.lit(""))
+    side = F.explode(F.when(before != "", F.array(F.struct(F.lit(0).alias("side"), before.alias("word")), F.struct(F.lit(1).alias("side"), both.alias("word")))))
+    df = df.select("key", "start", "end", "token", F.when(mail, 0).otherwise(1).alias("class"), kind.alias("kind"), side.alias("p"))
+    return df.select("key", "start", "end", "token", "class", "kind", "p.side", "p.word").where("word <> ''")
+
+
+PATTERN = ["side", "word", "class"]
+
+
+def to_instances(many: DataFrame, of_patterns: DataFrame) -> DataFrame:
+    """`many` rows that have a token and a pattern, with what `of_patterns` says of it; a pattern's rows are spread over salts."""
+    salted = of_patterns.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod(F.hash("token"), F.lit(SALTS))).join(salted, [*PATTERN, "salt"]).drop("salt")
 
 
 def patterns(found: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
-    """Patterns (before, shape) with a kind that they are confident of.
+    """Patterns with a kind that they are confident of: side, word, class, found, top.
 
-    The graph joins distinct patterns and distinct tokens. A seed's score is 1 for its own
-    kind. A pattern's score for a kind is its tokens' mean score, with one token of score 0
-    added; a token's is that of its best pattern, a seed's stays.
+    The graph joins distinct patterns of `support` distinct instances or more and their instances. A
+    seed's score is 1 for its own kind. A pattern's score for a kind is its instances' mean score, with one
+    instance of score 0 added; an instance's is that of its best pattern, a seed's stays.
     """
-    seed = [F.max(F.when(F.col("kind") == i, 1.0).otherwise(0.0)).alias(f"s{i}") for i in range(len(KINDS))]
-    edge = checkpointed(found.groupBy("before", "shape", "token").agg(*seed))
-    own = edge.groupBy("token").agg(*[F.max(f"s{i}").alias(f"own{i}") for i in range(len(KINDS))])
-    score = own.select("token", *[F.col(f"own{i}").alias(f"t{i}") for i in range(len(KINDS))])
+    kinds = range(len(KINDS))
+    seed = [F.max(F.when(F.col("kind") == i, 1.0).otherwise(0.0)).alias(f"s{i}") for i in kinds]
+    edge = found.groupBy(*PATTERN, "token").agg(*seed)
+    often = edge.groupBy(*PATTERN).agg(F.count("*").alias("n"), *[F.sum(f"s{i}").alias(f"n{i}") for i in kinds]).where(F.col("n") >= support).drop("n")
+    edge = checkpointed(to_instances(edge, often))
+    own = edge.groupBy("token").agg(*[F.max(f"s{i}").alias(f"own{i}") for i in kinds])
+    score = own.select("token", *[F.col(f"own{i}").alias(f"t{i}") for i in kinds])
     for n in range(rounds):
-        p = edge.select("before", "shape", "token").join(score, "token").groupBy("before", "shape").agg(F.count("*").alias("tokens"), *[(F.sum(f"t{i}") / (F.count("*") + 1)).alias(f"p{i}") for i in range(len(KINDS))])
+        p = edge.join(score, "token").groupBy(*PATTERN, *[f"n{i}" for i in kinds]).agg(*[(F.sum(f"t{i}") / (F.count("*") + 1)).alias(f"p{i}") for i in kinds])
         if n < rounds - 1:
-            best = edge.select("before", "shape", "token").join(p, ["before", "shape"]).groupBy("token").agg(*[F.max(f"p{i}").alias(f"p{i}") for i in range(len(KINDS))])
-            is_seed = sum(F.col(f"own{i}") for i in range(len(KINDS))) > 0
-            score = checkpointed(best.join(own, "token").select("token", *[F.when(is_seed, F.col(f"own{i}")).otherwise(F.col(f"p{i}")).alias(f"t{i}") for i in range(len(KINDS))]))
-    seeds = edge.groupBy("before", "shape").agg(*[F.sum(f"s{i}").alias(f"n{i}") for i in range(len(KINDS))])
-    top = F.greatest(*[F.when(F.col(f"n{i}") >= support, F.col(f"p{i}")).otherwise(F.lit(0.0)) for i in range(len(KINDS))])
-    kind = F.coalesce(*[F.when((F.col(f"n{i}") >= support) & (F.col(f"p{i}") == F.col("top")), F.lit(i)) for i in range(len(KINDS))])
-    return p.join(seeds, ["before", "shape"]).withColumn("top", top).where(F.col("top") >= confidence).select("before", "shape", kind.alias("found"))
+            best = to_instances(edge.select(*PATTERN, "token"), p.select(*PATTERN, *[f"p{i}" for i in kinds])).groupBy("token").agg(*[F.max(f"p{i}").alias(f"p{i}") for i in kinds])
+            is_seed = sum(F.col(f"own{i}") for i in kinds) > 0
+            score = checkpointed(best.join(own, "token").select("token", *[F.when(is_seed, F.col(f"own{i}")).otherwise(F.col(f"p{i}")).alias(f"t{i}") for i in kinds]))
+    top = F.greatest(*[F.when(F.col(f"n{i}") >= support, F.col(f"p{i}")).otherwise(F.lit(0.0)) for i in kinds])
+    kind = F.coalesce(*[F.when((F.col(f"n{i}") >= support) & (F.col(f"p{i}") == F.col("top")), F.lit(i)) for i in kinds])
+    return checkpointed(p.withColumn("top", top).where(F.col("top") >= confidence).select(*PATTERN, kind.alias("found"), "top"))
 
 
 def find_pii(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 4, shortest: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of personal data. Columns: id, k1, k2 (hashes of the text), base, spans: sorted arrays of (start, k, end), k a place in KINDS, places in code points.
 
-    Null texts count as empty. Base spans are always kept; a found token is a span only if it
-    touches none, has at least `shortest` characters, and its pattern has `support`
-    distinct seeds and reaches `confidence`. One row per row of `docs`.
+    Null texts count as empty. Base spans are always kept; a candidate is a span only if it
+    touches none, is mail-like or has `shortest` digits at least, and one of its patterns has `support`
+    distinct seeds of a kind and reaches `confidence`; the surest pattern says the kind. One row per row of `docs`;
+    null ids, repeated rows and other columns of any name do no harm.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     k1, k2 = text_key(text)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     rows = base_spans(plain, F.col("text")).select("id", F.struct("k1", "k2").alias("key"), F.col("__base").alias("base"), F.col("__tokens").alias("tokens"))
     rows = checkpointed(rows)
-    held = rows.where(F.size("tokens") > 0)
-    one = instances(held).where((F.length("token") >= shortest) & (F.length("before") > 0))
+    one = instances(rows.where(F.size("tokens") > 0), shortest)
     sure = patterns(one, rounds, confidence, support)
-    new = one.where("kind is null").join(sure, ["before", "shape"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", F.col("found").alias("k"), "end"))).alias("more"))
+    # a text that several rows have gives its candidates once
+    unseen = to_instances(one.where("kind is null").select("key", "start", "end", "token", *PATTERN).distinct(), sure)
+    surest = F.min_by("found", F.struct(-F.col("top"), F.col("found")))
+    new = unseen.groupBy("key", "start", "end").agg(surest.alias("k")).groupBy("key").agg(F.collect_set(F.struct("start", "k", "end")).alias("more"))
     out = rows.join(new.withColumnRenamed("key", "key2"), F.col("key") == F.col("key2"), "left")
-    return out.select("id", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"), "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
+    free = F.filter("more", lambda m: ~F.exists("base", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])))
+    return out.select("id", F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"), "base", F.array_sort(F.concat("base", F.coalesce(free, F.array().cast(SPAN)))).alias("spans"))
 
 
 def said(spans: Column) -> Column:
@@ -160,11 +194,12 @@ def said(spans: Column) -> Column:
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with every span of personal data replaced by <KIND>; spans that overlap are one, named after the first. Texts without spans stay as they are."""
-    found = find_pii(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")).dropDuplicates(["__k1", "__k2"])
-    text = F.col(text_col).cast("string")
+    """`docs` with every span of personal data replaced by <KIND>; spans that overlap are one, named after the first. Texts without spans stay as they are, all columns too, whatever their names."""
+    found = find_pii(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col(f"row.`{text_col}`").cast("string")
     k1, k2 = text_key(F.coalesce(text, F.lit("")))
-    df = docs.join(found, (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left")
+    df = row.join(found, (k1 == F.col("k1")) & (k2 == F.col("k2")), "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -172,8 +207,9 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
         apart = F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["k"])))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], apart).otherwise(acc["out"]).alias("out"))
 
-    masked = F.aggregate("__spans", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
-    return df.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked)).drop("__k1", "__k2", "__spans")
+    masked = F.aggregate("spans", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
+    new = F.when(F.col("spans").isNull(), F.col(f"row.`{text_col}`")).otherwise(masked)
+    return df.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from memlake.llm import pii
@@ -80,10 +82,76 @@ def test_context_finds_unseen(spark):
     assert pii.mask(df).count() == len(rows)
 
 
+def test_context_finds_forms_that_no_base_expression_has(spark):
+    r = random.Random(5)
+    words = ["lorem", "ipsum", "dolor", "amet"]
+    some = lambda: " ".join(r.choices(words, k=8))
+    rows = [(i, f"{some()} write to {r.choice('abcd')}{i}.doe@site{chr(97 + i % 20)}.org please {some()} call +1 (212) 555-{1000 + i} today") for i in range(50)]
+    rows += [(100, "lorem write to jane (at) home please"), (101, "ipsum call (212) 555-0199 today"), (102, "ipsum about 2125550199 amet"), (103, "write to 1234567 please")]
+    df = spark.createDataFrame([(d, t, 0, "x") for d, t in rows], "doc_id long, text string, side int, word string")
+    got = {x.id: x for x in pii.find_pii(df).collect()}
+    assert all(len(got[i].base) == len(got[i].spans) == 2 for i in range(50))
+    assert [tuple(s) for s in got[100].spans] == [(15, 0, 29)]
+    assert [tuple(s) for s in got[101].spans] == [(11, 3, 25)]
+    assert not got[102].spans and not got[103].spans
+
+
+def test_against_plain_bootstrapping(spark):
+    """The same rounds by dictionaries, over candidates that Python's re finds."""
+    r = random.Random(6)
+    leads, tails = ["ip", "tel", "the", "von"], ["up", "now", "der"]
+    ids = lambda: r.choice([f"{r.randint(1, 300)}.{r.randint(1, 9)}.7.{r.randint(1, 9)}", f"+1 (212) 555-{r.randint(1000, 1040)}", f"212 555 {r.randint(1000, 1020)}"])
+    rows = [(i, " ".join(x for _ in range(3) for x in (r.choice(leads), ids(), r.choice(tails)))) for i in range(120)]
+    found = [(d, m.start(), m.end(), m[0], t) for d, t in rows for m in re.finditer(r"(?<![A-Za-z0-9])[+(]{0,2}[0-9]++(?:[ ()./-]{1,3}+[0-9]++){0,11}+(?![A-Za-z0-9])", t) if sum(c.isdigit() for c in m[0]) >= 6]
+    base = {d: brute(t) for d, t in rows}
+    edge, seed = {}, {}
+    for d, s, e, hit, t in found:
+        hits = [b for b in base[d] if b[0] < e and b[2] > s]
+        if hits:
+            seed[hit] = seed.get(hit, set()) | {hits[0][1]}
+        for p in ((0, t[:s].split()[-1]), (1, t[:s].split()[-1], t[e:].split()[0])):
+            edge.setdefault(p, {}).setdefault(hit, set()).update({hits[0][1]} if hits else ())
+    edge = {p: v for p, v in edge.items() if len(v) >= 4}
+    kinds = range(4)
+    score = {h: [float(k in seed.get(h, ())) for k in kinds] for v in edge.values() for h in v}
+    for _ in range(3):
+        pat = {p: [sum(score[h][k] for h in v) / (len(v) + 1) for k in kinds] for p, v in edge.items()}
+        score = {h: s if h in seed else [max(pat[p][k] for p, v in edge.items() if h in v) for k in kinds] for h, s in score.items()}
+    sure = {}
+    for p, v in edge.items():
+        n = [sum(k in x for x in v.values()) for k in kinds]
+        best = max((pat[p][k] if n[k] >= 4 else 0.0, -k) for k in kinds)
+        if best[0] >= 0.4:
+            sure[p] = best
+    want = {}
+    for d, s, e, _, t in found:
+        if not any(b[0] < e and b[2] > s for b in base[d]):
+            best = max((sure[p] for p in ((0, t[:s].split()[-1]), (1, t[:s].split()[-1], t[e:].split()[0])) if p in sure), default=None)
+            if best:
+                want.setdefault(d, []).append((s, -best[1], e))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.id: sorted(set(map(tuple, x.spans)) - set(map(tuple, x.base))) for x in pii.find_pii(df, confidence=0.4).collect()}
+    assert want and {d: x for d, x in got.items() if x} == want
+
+
+def test_found_spans_of_the_test_tables(spark):
+    """What is added touches no base span, and is a candidate of its kind's class."""
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    text = {x.doc_id: x.text for x in docs.select("doc_id", "text").collect()}
+    for x in pii.find_pii(docs).where("size(spans) > size(base)").collect():
+        for s in set(map(tuple, x.spans)) - set(map(tuple, x.base)):
+            hit = text[x.id][s[0] : s[2]]
+            assert not any(b[0] < s[2] and b[2] > s[0] for b in x.base)
+            assert (s[1] == 0) == bool(re.search("[@a-z]", hit.lower())) and (s[1] == 0 or sum(c.isdigit() for c in hit) >= 6)
+
+
 def test_mask_overlaps(spark):
-    df = spark.createDataFrame([(1, "a 4111111111111111@b.com z", "s"), (2, None, "s"), (3, "x", None)], "doc_id long, text string, spans string")
+    df = spark.createDataFrame([(1, "a 4111111111111111@b.com z", "s", 1, "p"), (2, None, "s", 1, "p"), (3, "x", None, 1, "p")], "doc_id long, text string, spans string, k1 int, row string")
     got = {x.doc_id: x.text for x in pii.mask(df).collect()}
-    assert got == {1: "a <EMAIL> z", 2: None, 3: "x"}
+    assert got == {1: "a <EMAIL> z", 2: None, 3: "x"} and pii.mask(df).columns == df.columns
 
 
 def test_empty(spark):
