@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +21,30 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names; survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; one of this machine where none is named and all runs here."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="memlake-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder; survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, for loops: unlike a checkpoint it has its real size, where estimates of joined checkpoints multiply with each round."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes that stand for a text."""
     return [F.xxhash64(text), F.xxhash64(F.lit(7), text)]
@@ -93,11 +108,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Takes links between long ids; nulls and self links are ignored. Returns `node`,
     `root` (smallest id of the component) for every node but the roots themselves.
     Each round is one aggregation and one join per star; the link set never leaves the
-    executors and is checkpointed, so a lost executor costs only the current round.
+    executors and is written to the shared folder, so a lost executor costs only the current round.
     """
     x, y = F.col(a), F.col(b)
     e = edges.where(x.isNotNull() & y.isNotNull() & (x != y))
-    e = checkpointed(e.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
+    e = rewritten(e.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
     seen = None
     while True:
         mark = e.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first()
@@ -110,4 +125,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = checkpointed(small.distinct())
+        e = rewritten(small.distinct())

@@ -168,17 +168,14 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 3, id_col: s
 
 
 def keep_one(docs: DataFrame, words: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component: its smallest id, once. Components of null ids alone stay whole."""
+    """`docs` with one document of each component: its smallest id, once. Rows of one id with unlike fingerprints each stay; components of null ids alone stay whole. Columns may have any name but `__fp`, `__id`."""
     found = simhash_components(docs, words, most, id_col, text_col)
-    kept = found.where("id = component_id").select(F.col("id").alias("__kept")).distinct()
-    stay = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    if docs.where(F.col(id_col).isNull()).isEmpty():
-        return stay
+    beside = fingerprints_beside(docs, text_col, words)
+    kept = found.where("id = component_id").select(F.col("id").alias("__id"), F.col("fp").alias("__fp")).distinct()
+    stay = beside.withColumn("__id", F.col(id_col).cast("long")).join(kept, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"])
     alone = found.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    none = docs.where(F.col(id_col).isNull())
-    alone = alone.select("__fp")
-    texts = fingerprints_beside(none, text_col, words)
-    return stay.unionByName(texts.join(alone, "__fp", "left_semi").drop("__fp"))
+    none = beside.where(F.col(id_col).isNull()).join(alone, "__fp", "left_semi")
+    return stay.select(*docs.columns).unionByName(none.select(*docs.columns))
 
 
 def fingerprints_beside(docs: DataFrame, text_col: str, words: int) -> DataFrame:

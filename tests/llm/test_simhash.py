@@ -92,3 +92,16 @@ def test_connected_components(spark):
     got = {x.node: x.root for x in connected_components(df).collect()}
     root = local_roots(300, np.array([a for a, b in edges if a is not None]), np.array([b for a, b in edges if a is not None]))
     assert got == {i: int(x) for i, x in enumerate(root) if i != x}
+
+
+def test_rows_of_one_id_with_unlike_texts_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "q w e r t y u"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (None, "z x")], "doc_id long, text string")
+    got = sorted(((x.doc_id, x.text.lower()) for x in simhash.keep_one(df).collect()), key=str)
+    assert got == [(1, "a b c d e f"), (1, "q w e r t y u"), (None, "z x")]
+
+
+def test_components_of_a_long_path(spark):
+    from memlake.llm.common import connected_components
+
+    path = spark.range(2000).selectExpr("id as a", "id + 1 as b")
+    assert connected_components(path).where("root = 0").count() == 2000
