@@ -167,27 +167,6 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 3, id_col: s
     return fps.join(named.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each component: its smallest id, once. Rows of one id with unlike fingerprints each stay; components of null ids alone stay whole. Columns may have any name but `__fp`, `__id`."""
-    found = simhash_components(docs, words, most, id_col, text_col)
-    beside = fingerprints_beside(docs, text_col, words)
-    kept = found.where("id = component_id").select(F.col("id").alias("__id"), F.col("fp").alias("__fp")).distinct()
-    stay = beside.withColumn("__id", F.col(id_col).cast("long")).join(kept, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"])
-    alone = found.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
-    none = beside.where(F.col(id_col).isNull()).join(alone, "__fp", "left_semi")
-    return stay.select(*docs.columns).unionByName(none.select(*docs.columns))
-
-
-def fingerprints_beside(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    @F.pandas_udf("long")
-    def f(s):
-        import pandas as pd
-
-        return pd.Series(np.array([fingerprint(t, words) for t in s], U).view(np.int64))
-
-    return docs.withColumn("__fp", f(F.col(text_col)))
-
-
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -54,15 +54,6 @@ def test_components(spark, seed):
     out = simhash.simhash_components(df)
     got = sorted(((x.id, format(x.fp & (2**64 - 1), "016x"), x.component_id) for x in out.collect()), key=str)
     assert got == brute(rows)
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    ids = sorted(x.doc_id for x in kept.collect())
-    assert ids == sorted({c for _, _, c in got if c is not None})
-
-
-def test_null_ids_alone_stay(spark):
-    df = spark.createDataFrame([(None, "only here " * 9), (None, "only here " * 9), (1, "z")], "doc_id long, text string")
-    assert simhash.keep_one(df).count() == 3
 
 
 def test_empty(spark):
@@ -94,12 +85,6 @@ def test_connected_components(spark):
     assert got == {i: int(x) for i, x in enumerate(root) if i != x}
 
 
-def test_rows_of_one_id_with_unlike_texts_stay(spark):
-    df = spark.createDataFrame([(1, "a b c d e f"), (1, "q w e r t y u"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (None, "z x")], "doc_id long, text string")
-    got = sorted(((x.doc_id, x.text.lower()) for x in simhash.keep_one(df).collect()), key=str)
-    assert got == [(1, "a b c d e f"), (1, "q w e r t y u"), (None, "z x")]
-
-
 def test_components_of_a_long_path(spark):
     from memlake.llm.common import connected_components
 
