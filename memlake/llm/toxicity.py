@@ -107,13 +107,13 @@ def levels(gram: np.ndarray, count: np.ndarray, shared: np.ndarray, p: np.ndarra
     steps = [(gram, count)]
     for n in range(ORDER - 1, SHARED, -1):
         key, inv = np.unique(steps[-1][0] & U(low(n)), return_inverse=True)
-        steps.append((key, np.stack([np.bincount(inv, c > 0, len(key)) for c in steps[-1][1]])))
+        steps.append((key, np.stack([np.bincount(inv[c > 0], minlength=len(key)).astype(np.float32) for c in steps[-1][1]])))
     out: list[Level] = []
     under, below = shared, np.stack([p, p])
     for n, (key, c) in zip(range(SHARED + 1, ORDER + 1), reversed(steps), strict=True):
         context, inv = np.unique(key >> U(8), return_inverse=True)
         total = np.stack([np.bincount(inv, x, len(context)) for x in c])
-        kinds = np.stack([np.bincount(inv, x > 0, len(context)) for x in c])
+        kinds = np.stack([np.bincount(inv[x > 0], minlength=len(context)) for x in c])
         back = np.where(total > 0, D * kinds / np.maximum(total, 1), 1.0)
         at, ok = find(under, key & U(low(n - 1)))
         now = np.maximum(c - D, 0) / np.maximum(total, 1)[:, inv] + back[:, inv] * np.where(ok, below[:, at], 1e-9)
@@ -238,15 +238,21 @@ def shared_shares(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _model_of(t: pa.Table) -> list[Level]:
-    """The models from rows of counts (slot from 0) and of shared probabilities (slot -1)."""
-    gram, slot = numbers_of(t["gram"]).view(U), numbers_of(t["slot"], np.int32)
-    is_shared = slot < 0
-    shared, p = gram[is_shared], t["p"].to_numpy()[is_shared]
+    """The models from rows of one gram each: counts by class, or a shared probability."""
+    gram, p = numbers_of(t["gram"]).view(U), t["p"].to_numpy()
+    is_shared = ~np.isnan(p)
+    shared, p = gram[is_shared], p[is_shared]
+    at = np.flatnonzero(~is_shared)
+    at = at[np.argsort(gram[at])]
+    count = np.stack([numbers_of(t[c], np.int32)[at].astype(np.float32) for c in ("ordinary", "toxic")])
     order = np.argsort(shared)
-    n = numbers_of(t["n"])[~is_shared]
-    key, inv = np.unique(gram[~is_shared], return_inverse=True)
-    count = np.stack([np.bincount(inv, n * (slot[~is_shared] % 2 == c), len(key)) for c in (0, 1)])
-    return levels(key, count, shared[order], p[order])
+    return levels(gram[at], count, shared[order], p[order])
+
+
+def _by_class(counted: DataFrame, p: DataFrame, *by: str) -> DataFrame:
+    """Rows for `_model_of`, for each value of `by`."""
+    n = [F.sum(F.when(F.col("slot") % 2 == c, F.col("n")).otherwise(0)).cast("int").alias(name) for c, name in enumerate(("ordinary", "toxic"))]
+    return counted.groupBy(*by, "gram").agg(*n).withColumn("p", F.lit(float("nan"))).unionByName(p)
 
 
 @dataclass
@@ -260,7 +266,7 @@ class Classifier:
         return np.full(len(texts), self.prior) if self.model is None else self.curve(evidence(self.model, texts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Learn from `labels` and `docs`; without rows of both classes that have words, every score is the share of toxic rows.
 
     Of several labels of one id the toxic one holds; null labels, and any but 0 and 1, are none. Other columns do nothing.
@@ -273,10 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
     counted = checkpointed(rows.select("fold", "toxic", "text").mapInArrow(_counts, "gram long, slot int, n long").groupBy("gram", "slot").agg(F.sum("n").alias("n")))
     corpus = checkpointed(docs.select(plain(text_col).alias("text")).mapInArrow(_corpus, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     wanted = counted.select(F.col("gram").bitwiseAND(low(SHARED)).alias("gram")).distinct()
-    p = checkpointed(shared_shares(corpus, wanted).select("gram", F.lit(-1).alias("slot"), F.lit(0).cast("long").alias("n"), "p"))
-    counts = counted.select("gram", "slot", "n", F.lit(0.0).alias("p"))
+    p = checkpointed(shared_shares(corpus, wanted).select("gram", F.lit(0).alias("ordinary"), F.lit(0).alias("toxic"), "p"))
     # a model for each fold, of the rows of the others
-    others = counts.unionByName(p).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where("slot < 0 or shiftright(slot, 1) <> fold")
+    folds = F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold")
+    others = _by_class(counted.select("*", folds).where("shiftright(slot, 1) <> fold"), p.select("*", folds), "fold")
 
     def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
@@ -301,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str =
             "value": np.concatenate([v for *_, v in part]),
         })
 
-    built = checkpointed(counts.unionByName(p).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(whole, "size byte, kind byte, key long, value float"))
+    built = checkpointed(_by_class(counted, p).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(whole, "size byte, kind byte, key long, value float"))
     model = []
     for s in range(ORDER, SHARED, -1):
         two = []
