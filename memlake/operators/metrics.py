@@ -38,8 +38,10 @@ def runs(results: DataFrame) -> DataFrame:
 
 
 def sweep(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Precision, recall and F1 at each of a few thresholds. scored: score, positive."""
-    t = scored.join(F.broadcast(thresholds.limit(1000)), F.lit(True)).withColumn("said", F.col("score") >= F.col("threshold"))
+    """Precision, recall and F1 at each of a few thresholds, a thousand at most: more are an error. scored: score, positive."""
+    if len(thresholds.limit(1001).take(1001)) > 1000:
+        raise ValueError("more than 1000 thresholds")
+    t = scored.join(F.broadcast(thresholds), F.lit(True)).withColumn("said", F.col("score") >= F.col("threshold"))
     out = t.groupBy("threshold").agg(F.count_if(F.col("said") & F.col("positive")).alias("tp"), F.count_if(F.col("said") & ~F.col("positive")).alias("fp"), F.count_if(~F.col("said") & F.col("positive")).alias("fn"))
     p, r = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
     return out.select("threshold", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
