@@ -33,12 +33,12 @@ class Block:
         codes[end] = np.arange(n)
         self.ends = end
         # ranks[k] orders positions by the 2^k codes from there on; a place past the end comes first
-        self.ranks = [dense(codes)]
+        self.ranks = [dense(codes).astype(np.int32)]
         while 2 ** (len(self.ranks) - 1) <= int(size.max(initial=0)):
-            r, step = self.ranks[-1], 2 ** (len(self.ranks) - 1)
+            r, step = self.ranks[-1].astype(np.int64), 2 ** (len(self.ranks) - 1)
             after = np.zeros(len(r), np.int64)
             after[:-step] = r[step:] + 1
-            self.ranks.append(dense(r * (int(r.max(initial=0)) + 3) + after))
+            self.ranks.append(dense(r * (int(r.max(initial=0)) + 3) + after).astype(np.int32))
         self.order = np.argsort(self.ranks[-1], kind="stable")
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -208,16 +208,23 @@ def _corpus(batches: Iterator[pa.RecordBatch], flush: int = 1_000_000) -> Iterat
     def out(key, n):
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    key, n = np.empty(0, U), np.empty(0, np.int64)
+    key, n = [np.empty(0, U)], [np.empty(0, np.int64)]
+    more = 0
     for b in (x for whole in batches for x in slices(whole, "text")):
         s = spelled(pa.chunked_array([b["text"]]), SHARED)
         k, m = _summed(s.gram, np.bincount(s.which)[s.word] if len(s.which) else np.empty(0, np.int64))
-        key, n = _summed(np.r_[key, k], np.r_[n, m])
-        if len(key) > flush:
-            yield out(key, n)
-            key, n = key[:0], n[:0]
-    if len(key):
-        yield out(key, n)
+        key.append(k)
+        n.append(m)
+        more += len(k)
+        if more > flush // 4:
+            k, m = _summed(np.concatenate(key), np.concatenate(n))
+            if len(k) > flush:
+                yield out(k, m)
+                k, m = k[:0], m[:0]
+            key, n, more = [k], [m], 0
+    k, m = _summed(np.concatenate(key), np.concatenate(n))
+    if len(k):
+        yield out(k, m)
 
 
 def shared_shares(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -334,13 +341,11 @@ def keep_civil(docs: DataFrame, labels: DataFrame, limit: float = 0.7, text_col:
     """`docs` without those that score `limit` or more; all columns stay, whatever their names."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col))
 
-    @F.pandas_udf("double")
-    def s(text):
-        import pandas as pd
-
-        whole = pa.RecordBatch.from_arrays([pa.array(text, pa.large_string())], ["text"])
+    @F.arrow_udf("double")
+    def s(text: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([text], ["text"])
         got = [held.value.scores(pa.chunked_array([b["text"]])) for b in slices(whole, "text")]
-        return pd.Series(np.concatenate(got) if got else np.empty(0))
+        return pa.array(np.concatenate(got) if got else np.empty(0))
 
     return docs.where(s(plain(text_col)) < limit)
 

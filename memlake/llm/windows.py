@@ -314,7 +314,7 @@ SPANS = "src int, number int, start long, stop long"
 Kernel = Callable[[Windows, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
-def match(spec: Windows, kernel: Kernel, tile: int = 1 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def match(spec: Windows, kernel: Kernel, tile: int = 1 << 18) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Spans of each document covered by windows that an earlier document has.
 
     `kernel` gets a block's tokens, its stretches' offsets and each stretch's smallest document, and says of each position
