@@ -28,6 +28,7 @@ SAMPLE = 4000  # documents whose shingles tell which are frequent
 OFTEN = 8
 MOST = 65_536  # frequent shingles that are sent everywhere
 SMALL = 64
+LANES = U(0x0101010101010101)
 
 
 def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -45,21 +46,32 @@ def shingles(column, k: int) -> tuple[np.ndarray, np.ndarray, int]:
             h.append(mix(grams(code, s)[first[short]] + U(s)))
             docs.append(short)
     code, doc = np.concatenate(h) if h else np.empty(0, U), np.concatenate(docs)
-    order = np.lexsort((code, doc))
+    order = np.argsort(code)
+    order = order[np.argsort(doc[order].astype(np.uint16 if len(n) <= 65_536 else np.int64), kind="stable")]
     code, doc = code[order], doc[order]
     new = np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])] if len(code) else np.empty(0, bool)
     return code[new], doc[new], len(n)
 
 
 def simhash(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """128 bits of each text as two numbers, a bit set if over half of the shingles have it."""
-    count = np.zeros((n, 128), np.int64)
+    """128 bits of each text as two numbers, a bit set if over half of the shingles have it.
+
+    Shingles of one text stand together. Up to 255 are added at once, eight counters of a byte in one number.
+    """
+    count = np.zeros((n, 2, 8, 8), np.int64)  # number, bit of a byte, byte
     for i in range(0, len(code), 65_536):
         c, d = code[i : i + 65_536], doc[i : i + 65_536]
-        h = np.stack([mix(c + C1), mix(c ^ C2)], axis=1)
-        at = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        count[d[at]] += np.add.reduceat(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), at, axis=0, dtype=np.int32)
-    return np.packbits(2 * count > np.bincount(doc, minlength=n)[:, None], axis=1, bitorder="little").view(U)
+        start = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        place = np.arange(len(d)) - np.repeat(start, np.diff(np.r_[start, len(d)]))
+        at = np.flatnonzero(place % 255 == 0)
+        part = np.empty((len(at), 2, 8), U)
+        for j, h in enumerate((mix(c + C1), mix(c ^ C2))):
+            for k in range(8):
+                part[:, j, k] = np.add.reduceat((h >> U(k)) & LANES, at)
+        some = np.flatnonzero(place[at] == 0)
+        count[d[start]] += np.add.reduceat(part.view(np.uint8).reshape(len(at), 2, 8, 8), some, axis=0, dtype=np.int64)
+    bits = count.transpose(0, 1, 3, 2).reshape(n, 128)
+    return np.packbits(2 * bits > np.bincount(doc, minlength=n)[:, None], axis=1, bitorder="little").view(U)
 
 
 def classes_of(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:

@@ -127,6 +127,27 @@ def first_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> list[tuple[np
     return out
 
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b without BLAS: its threads, which wait for each other by spinning, have stalled a Spark driver of few cores."""
+    return np.einsum("...i,ij->...j" if b.ndim == 2 else "...i,i->...", a, b)
+
+
+def inverse_of(a: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan elimination with row pivots, without threads."""
+    n = len(a)
+    w = np.c_[a.astype(float), np.eye(n)]
+    for i in range(n):
+        j = i + int(np.abs(w[i:, i]).argmax())
+        if w[j, i] == 0:
+            raise np.linalg.LinAlgError("Singular matrix")
+        w[[i, j]] = w[[j, i]]
+        w[i] /= w[i, i]
+        on = np.flatnonzero(w[:, i])
+        on = on[on != i]
+        w[on] -= w[on, i][:, None] * w[i]
+    return w[:, n:]
+
+
 def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, rounds: int = ROUNDS, columns: int = 48) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and how often each is used in the linear program's optimum, by the revised simplex method.
 
@@ -145,17 +166,17 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, rounds
     least, pivots = float(lengths @ demand) / size, 0
 
     def solved() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        inverse = np.linalg.inv(pool[:, basis])
-        return inverse, np.maximum(inverse @ demand, 0), cost[basis] @ inverse
+        inverse = inverse_of(pool[:, basis])
+        return inverse, np.maximum(times(inverse, demand), 0), times(cost[basis], inverse)
 
     inverse, x, price = solved()
     for _ in range(rounds):
         for _ in range(40 * m):
-            gain = price @ pool - cost
+            gain = times(price, pool) - cost
             j = int(gain.argmax())
             if gain[j] <= 1e-7:
                 break
-            d = inverse @ pool[:, j]
+            d = times(inverse, pool[:, j])
             ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
             out = int(ratio.argmin())
             step = ratio[out]
@@ -172,14 +193,14 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, rounds
             if pivots % 250 == 0:
                 inverse, x, price = solved()
         found, top = knapsacks(price, lengths, size, columns)
-        value = float(cost[basis] @ x)
+        value = float((cost[basis] * x).sum())
         least = max(least, value / max(top, 1.0))
         if not found or value - least <= max(0.5, 1e-4 * value):
             break
         pool = np.c_[pool, np.array(found).T]
         cost = np.r_[cost, np.ones(len(found))]
     own = cost[basis] > 0
-    x = np.maximum(np.linalg.solve(pool[:, basis], asked.astype(float)), 0)
+    x = np.maximum(times(inverse_of(pool[:, basis]), asked.astype(float)), 0)
     return pool[:, basis[own]].astype(np.int64), x[own]
 
 

@@ -23,7 +23,7 @@ only those under grams of the training rows are sent: elsewhere they cancel out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ SHARED = 4  # bytes of the grams that both classes share
 D = 0.95
 BAND = 2.0
 FOLDS = 4
+KNOWN = 262_144  # words whose evidence a task keeps
 EDGE = 32
 FOLD = np.full(256, EDGE, np.uint8)
 FOLD[128:] = np.arange(128, 256)
@@ -56,9 +57,46 @@ def low(n: int) -> int:
 
 
 @dataclass
-class Spelled:
+class Vocabulary:
     """The distinct words of some texts."""
 
+    code: np.ndarray  # hashes of the distinct words, sorted
+    which: np.ndarray  # each word's place among the distinct ones
+    first: np.ndarray  # each text's first word
+    buf: np.ndarray  # the texts' bytes, folded
+    start: np.ndarray  # where a distinct word stands in them
+    size: np.ndarray
+
+    def grams(self, some: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+        """Grams of the bytes, and of the ends, of `some` distinct words, and each gram's place in `some`."""
+        if not len(some):
+            return np.empty(0, U), np.empty(0, np.int64)
+        start, size = self.start[some], self.size[some]
+        word = np.repeat(np.arange(len(some)), size + 1)
+        head = np.cumsum(size + 1) - size - 1
+        into = np.arange(len(word)) - head[word]
+        last = into == size[word]
+        byte = self.buf[np.where(last, 0, start[word] + into)]
+        byte[last] = EDGE
+        gram = byte.astype(U)
+        for k in range(1, order):
+            back = into - k
+            gram |= np.where(back >= 0, byte[np.maximum(head[word] + back, 0)], np.where(back == -1, EDGE, 0)).astype(U) << U(8 * k)
+        return gram, word
+
+
+def vocabulary(column) -> Vocabulary:
+    buf, off = bytes_of(column)
+    buf = FOLD[buf]
+    code, start, end, first = words(buf, off)
+    code, at, which = np.unique(code, return_index=True, return_inverse=True)
+    return Vocabulary(code, which, first, buf, start[at], (end - start)[at])
+
+
+@dataclass
+class Spelled:
+    """The distinct words of some texts, with all their grams."""
+
     which: np.ndarray  # each word's place among the distinct ones
     first: np.ndarray  # each text's first word
     gram: np.ndarray  # grams of the distinct words' bytes, and of their ends
@@ -66,24 +104,8 @@ class Spelled:
 
 
 def spelled(column, order: int = ORDER) -> Spelled:
-    buf, off = bytes_of(column)
-    buf = FOLD[buf]
-    code, start, end, first = words(buf, off)
-    if not len(code):
-        return Spelled(np.empty(0, np.int64), first, np.empty(0, U), np.empty(0, np.int64))
-    _, at, which = np.unique(code, return_index=True, return_inverse=True)
-    start, size = start[at], (end - start)[at]
-    word = np.repeat(np.arange(len(at)), size + 1)
-    head = np.cumsum(size + 1) - size - 1
-    into = np.arange(len(word)) - head[word]
-    last = into == size[word]
-    byte = buf[np.where(last, 0, start[word] + into)]
-    byte[last] = EDGE
-    gram = byte.astype(U)
-    for k in range(1, order):
-        back = into - k
-        gram |= np.where(back >= 0, byte[np.maximum(head[word] + back, 0)], np.where(back == -1, EDGE, 0)).astype(U) << U(8 * k)
-    return Spelled(which, first, gram, word)
+    v = vocabulary(column)
+    return Spelled(v.which, v.first, *v.grams(np.arange(len(v.code)), order))
 
 
 def find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,15 +158,36 @@ def ratios(model: list[Level], gram: np.ndarray) -> np.ndarray:
     return out
 
 
-def evidence(model: list[Level], texts) -> np.ndarray:
+class Known:
+    """The evidence of words that were met before: a word's is worked out once, not once a batch. Beyond `most` words it starts again."""
+
+    def __init__(self, most: int = KNOWN):
+        self.most, self.code, self.value = most, np.empty(0, U), np.empty(0)
+
+    def of(self, model: list[Level], v: Vocabulary) -> np.ndarray:
+        at, ok = find(self.code, v.code)
+        value, new = np.empty(len(v.code)), np.flatnonzero(~ok)
+        value[ok] = self.value[at[ok]]
+        if len(new):
+            gram, word = v.grams(new)
+            value[new] = np.maximum(np.bincount(word, ratios(model, gram)) - BAND, 0.0)
+            if len(self.code) + len(new) > self.most:
+                self.code, self.value = v.code[: self.most], value[: self.most]
+            else:
+                into = np.searchsorted(self.code, v.code[new])
+                self.code, self.value = np.insert(self.code, into, v.code[new]), np.insert(self.value, into, value[new])
+        return value
+
+
+def evidence(model: list[Level], texts, known: Known | None = None) -> np.ndarray:
     """The feature of each text; one without words has none."""
-    s = spelled(texts)
-    n = np.diff(s.first)
+    v = vocabulary(texts)
+    n = np.diff(v.first)
     out = np.zeros(len(n))
     full = np.flatnonzero(n)
     if len(full):
-        word = np.bincount(s.word, ratios(model, s.gram))
-        out[full] = np.add.reduceat(np.maximum(word - BAND, 0.0)[s.which], s.first[:-1][full]) / n[full]
+        word = (known or Known()).of(model, v)
+        out[full] = np.add.reduceat(word[v.which], v.first[:-1][full]) / n[full]
     return out
 
 
@@ -185,8 +228,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, id_col: str,
 
 
 def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
+    if len(key) and max(int(key.max()), int(n.max())) >> 32 == 0:  # both fit one number, which sorts faster than places do
+        both = np.sort(key << U(32) | n.astype(U))
+        key, n = both >> U(32), (both & U(low(4))).astype(np.int64)
+    else:
+        order = np.argsort(key)
+        key, n = key[order], n[order]
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     return key[at], np.add.reduceat(n, at) if len(at) else n
 
@@ -208,23 +255,37 @@ def _corpus(batches: Iterator[pa.RecordBatch], flush: int = 1_000_000) -> Iterat
     def out(key, n):
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    key, n = [np.empty(0, U)], [np.empty(0, np.int64)]
-    more = 0
+    key, total = np.empty(0, U), np.empty(0, np.int64)
+    code, own = np.empty(0, U), np.empty(0, np.int64)  # words so far, sorted, and their numbers
+    count, gram, word, more = np.empty(0, np.int64), [key], [own], 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([key, *gram]), np.concatenate([total, count[np.concatenate(word)]]))
+
     for b in (x for whole in batches for x in slices(whole, "text")):
-        s = spelled(pa.chunked_array([b["text"]]), SHARED)
-        k, m = _summed(s.gram, np.bincount(s.which)[s.word] if len(s.which) else np.empty(0, np.int64))
-        key.append(k)
-        n.append(m)
-        more += len(k)
-        if more > flush // 4:
-            k, m = _summed(np.concatenate(key), np.concatenate(n))
-            if len(k) > flush:
-                yield out(k, m)
-                k, m = k[:0], m[:0]
-            key, n, more = [k], [m], 0
-    k, m = _summed(np.concatenate(key), np.concatenate(n))
-    if len(k):
-        yield out(k, m)
+        v = vocabulary(pa.chunked_array([b["text"]]))
+        n = np.bincount(v.which, minlength=len(v.code))
+        at, ok = find(code, v.code)
+        count[own[at[ok]]] += n[ok]
+        new = np.flatnonzero(~ok)
+        if not len(new):
+            continue
+        g, w = v.grams(new, SHARED)
+        gram.append(g)
+        word.append(w + len(count))
+        into = np.searchsorted(code, v.code[new])
+        code, own = np.insert(code, into, v.code[new]), np.insert(own, into, np.arange(len(new)) + len(count))
+        count = np.r_[count, n[new]]
+        more += len(g)
+        if more > flush // 2:
+            key, total = summed()
+            if len(key) > flush:
+                yield out(key, total)
+                key, total = key[:0], total[:0]
+            code, own, count, gram, word, more = code[:0], own[:0], count[:0], [key[:0]], [own[:0]], 0
+    key, total = summed()
+    if len(key):
+        yield out(key, total)
 
 
 def shared_shares(corpus: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -267,10 +328,11 @@ class Classifier:
     model: list[Level] | None
     curve: Curve | None
     prior: float
+    known: Known = field(default_factory=Known, compare=False, repr=False)
 
     def scores(self, texts) -> np.ndarray:
         """Scores of lower-cased texts without nulls."""
-        return np.full(len(texts), self.prior) if self.model is None else self.curve(evidence(self.model, texts))
+        return np.full(len(texts), self.prior) if self.model is None else self.curve(evidence(self.model, texts, self.known))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
@@ -294,8 +356,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, id_col: str =
     def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows or not left.num_rows:
             return pa.table({"toxic": pa.array([], pa.int32()), "x": pa.array([], pa.float64())})
-        model = _model_of(left)
-        got = [(b["toxic"], evidence(model, pa.chunked_array([b["text"]]))) for whole in right.to_batches() for b in slices(whole, "text")]
+        model, known = _model_of(left), Known()
+        got = [(b["toxic"], evidence(model, pa.chunked_array([b["text"]]), known)) for whole in right.to_batches() for b in slices(whole, "text")]
         return pa.table({"toxic": pa.chunked_array([t for t, _ in got]), "x": np.concatenate([x for _, x in got])})
 
     tried = columns_of(others.groupBy("fold").cogroup(rows.select("fold", "toxic", "text").groupBy("fold")).applyInArrow(crossed, "toxic int, x double"))

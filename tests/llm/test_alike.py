@@ -81,3 +81,17 @@ def test_pairs_at_the_limit_are_candidates():
 
 def test_empty(spark):
     assert alike.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bits_of_long_texts():
+    """Counters of a byte each hold no more than 255 shingles; the pieces of a long text add up."""
+    r = np.random.default_rng(7)
+    size = np.array([0, 1, 254, 255, 256, 511, 70_000, 3])
+    doc = np.repeat(np.arange(len(size)), size)
+    code = r.integers(0, 2**64, len(doc), dtype=np.uint64)
+    code[doc == 5] = code[doc == 5][0]
+    got = alike.simhash(code, doc, len(size))
+    for d in range(len(size)):
+        h = np.stack([alike.mix(code[doc == d] + alike.C1), alike.mix(code[doc == d] ^ alike.C2)], axis=1)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        assert np.array_equal(got[d], np.packbits(2 * bits > size[d], bitorder="little").view(np.uint64))

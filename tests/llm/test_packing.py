@@ -79,3 +79,16 @@ def test_knapsack_is_best():
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_plan_needs_no_threads_of_blas(monkeypatch):
+    """The driver has been seen to stand still in a threaded inv."""
+
+    def stands(*a):
+        raise AssertionError("threaded")
+
+    for name in ("inv", "solve"):
+        monkeypatch.setattr(np.linalg, name, stands)
+    test_plan_against_bound()
+    a = np.random.default_rng(4).integers(0, 5, (40, 40)).astype(float)
+    assert np.allclose(packing.times(a, packing.inverse_of(a)), np.eye(40), atol=1e-8)

@@ -145,3 +145,36 @@ def test_long_text_ties_and_clashing_columns(spark):
     assert len(got) == len(rows) + 3 and len({x.score for x in got if x.id == 7}) == 1
     assert {x.id: x.score >= 0.7 for x in got if x.id >= 9000} == {9000: True, 9001: False}
     assert toxicity.keep_civil(docs, lab).columns == docs.columns
+
+
+def test_a_word_is_worked_out_once(monkeypatch):
+    """Over all batches of a task; what is kept is bounded, and scores do not depend on it."""
+    r = random.Random(4)
+    texts = [pa.array([" ".join(r.choice(["ab", "abc", "b", "c1", "é"]) for _ in range(9)) for _ in range(5)] + [""]) for _ in range(6)]
+    gram = np.unique(toxicity.spelled(pa.chunked_array(texts)).gram)
+    shared = np.unique(gram & np.uint64(toxicity.low(toxicity.SHARED)))
+    model = toxicity.levels(gram, np.random.default_rng(1).integers(1, 50, (2, len(gram))).astype(np.float32), shared, np.full(len(shared), 0.01))
+    asked, old = [], toxicity.ratios
+    monkeypatch.setattr(toxicity, "ratios", lambda m, g: asked.extend(g.tolist()) or old(m, g))
+    c = toxicity.Classifier(model, toxicity.Curve(0.1, 1.0, 0.0), 0.5)
+    got = [c.scores(t) for t in texts]
+    assert len(asked) == sum(len(w.encode()) + 1 for w in ("ab", "abc", "b", "c1", "é"))
+    few = toxicity.Known(2)
+    assert all(np.array_equal(x, c.curve(toxicity.evidence(model, t, few))) for x, t in zip(got, texts)) and len(few.code) <= 2
+
+
+def test_counts_of_all_documents_over_several_flushes():
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("abcé1", k=r.randint(1, 9))) for _ in range(40)) for _ in range(30)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 5])], ["text"]) for i in range(0, 30, 5)]
+    want = Counter()
+    for t in texts:
+        for w in t.encode().split():
+            b = b"\0\0\0 " + w + b" "
+            want.update(b[i - 3 : i + 1][max(0, 3 - i) :] for i in range(4, len(b)))
+    for flush in (50, 1_000, 1_000_000):
+        got = Counter()
+        for b in toxicity._corpus(iter(batches), flush):
+            for g, n in zip(b["gram"].to_pylist(), b["n"].to_pylist()):
+                got[g.to_bytes(4, "big")] += n
+        assert got == Counter({k.rjust(4, b"\0"): n for k, n in want.items()})
