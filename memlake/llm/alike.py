@@ -1,13 +1,15 @@
-"""Near-dedup of texts by their shingles: SimHash for candidates, exact similarity for links.
+"""Near-dedup of texts by their shingles: SimHash with pivot distance tables for candidates, exact similarity for links.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8
 or more. Candidates are found in two steps. All texts put their shingles in one order;
 of a text's n shingles, two that are alike share one of the first n - ceil(0.8 n) + 1, so
 texts meet under those shingles and no linked pair escapes. The order has frequent shingles (of a
-sample) last; which ones they are changes the work only. Texts that meet are compared by SimHash
-fingerprints of 128 bits: at similarity 0.8 about 20 bits differ, and the limit of 40 is
+sample) last; which ones they are changes the work only. Texts that meet under a shingle are a group with a
+table of their SimHash fingerprints' distances to pivots, some of the group's own; a pair whose distances to
+a pivot differ by more than the limit is discarded, and what is left is compared by the
+fingerprints themselves. These have 128 bits: at similarity 0.8 about 20 differ, and the limit of 40 is
 passed by a linked pair with probability under 1e-4, in the usual estimate; unrelated texts differ in 64.
-Pivots tell nothing at that limit. Candidates' components are then linked by the shingles themselves.
+Candidates' components are then linked by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ SAMPLE = 4000  # documents whose shingles tell which are frequent
 OFTEN = 8
 MOST = 65_536  # frequent shingles that are sent everywhere
 SMALL = 64
+PIVOTS = 3  # of each group
 LANES = U(0x0101010101010101)
 
 
@@ -107,6 +110,43 @@ def spread(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.nd
     return (np.concatenate(a), np.concatenate(b)) if a else (rest[:0], rest[:0])
 
 
+class Pivots:
+    """Fingerprints in groups that stand together, with a table of distances to pivots, `most` for each group.
+
+    A group's pivots are its own fingerprints: the first, then each time the first that is beyond
+    the limit from those before, so they stand in different clusters. By the triangle inequality two whose distances to one pivot differ by more
+    than the limit can't be linked, and are not compared. Pivots from elsewhere would tell nothing: all distances to them are near 64.
+    """
+
+    def __init__(self, f0: np.ndarray, f1: np.ndarray, at: np.ndarray, size: np.ndarray, bits: int, most: int = PIVOTS):
+        self.f0, self.f1, self.bits = f0, f1, bits
+        self.table = np.empty((most, len(f0)), np.int16)
+        group = np.repeat(np.arange(len(at)), size)
+        nearest, pivot = np.full(len(f0), 129, np.int16), at
+        for d in self.table:
+            d[:] = self.apart(np.arange(len(f0)), pivot[group])
+            np.minimum(nearest, d, out=nearest)
+            far = np.r_[np.flatnonzero(nearest > bits), len(f0)]
+            first = far[np.searchsorted(far, at)]
+            pivot = np.where(first < at + size, first, at)
+
+    def apart(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.f0[i] ^ self.f0[j]).astype(np.int16) + np.bitwise_count(self.f1[i] ^ self.f1[j])
+
+    def maybe(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        """Which pairs no pivot discards."""
+        ok = np.ones(len(j), bool)
+        for d in self.table:
+            ok &= np.abs(d[i] - d[j]) <= self.bits
+        return ok
+
+    def near(self, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        """Which pairs of one group differ in at most `bits` bits."""
+        ok = self.maybe(i, j)
+        ok[ok] = self.apart(i if np.ndim(i) == 0 else i[ok], j[ok]) <= self.bits
+        return ok
+
+
 def frequent(docs: DataFrame, k: int) -> np.ndarray:
     """Sorted shingles of at least OFTEN of a sample's documents. They only order the rest."""
 
@@ -156,6 +196,7 @@ def candidates(classes: DataFrame, bits: int) -> DataFrame:
         h, c, f0, f1 = h[order], c[order], f0[order].view(U), f1[order].view(U)
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         size = np.diff(np.r_[at, len(h)])
+        pivots = Pivots(f0, f1, at, size, bits)
         name, node = np.unique(c, return_inverse=True)
         root = np.arange(len(name))
 
@@ -171,12 +212,11 @@ def candidates(classes: DataFrame, bits: int) -> DataFrame:
             i = i[i + d < last[i]]
             if not len(i):
                 break
-            ok = np.bitwise_count(f0[i] ^ f0[i + d]).astype(np.int16) + np.bitwise_count(f1[i] ^ f1[i + d]) <= bits
+            ok = pivots.near(i, i + d)
             a.append(i[ok])
             b.append(i[ok] + d)
         for s, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            x, y = f0[s : s + n], f1[s : s + n]
-            p, q = spread(n, lambda j, rest, x=x, y=y: np.bitwise_count(x[j] ^ x[rest]).astype(np.int16) + np.bitwise_count(y[j] ^ y[rest]) <= bits)
+            p, q = spread(n, lambda j, rest, s=s: pivots.near(s + j, s + rest))
             a.append(p + s)
             b.append(q + s)
         link(np.concatenate(a), np.concatenate(b))

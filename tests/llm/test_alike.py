@@ -95,3 +95,41 @@ def test_bits_of_long_texts():
         h = np.stack([alike.mix(code[doc == d] + alike.C1), alike.mix(code[doc == d] ^ alike.C2)], axis=1)
         bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         assert np.array_equal(got[d], np.packbits(2 * bits > size[d], bitorder="little").view(np.uint64))
+
+
+def test_pivots_discard_and_lose_nothing():
+    """In groups of near copies around different texts, pivots discard most unlike pairs, and no pair within the limit."""
+    r = np.random.default_rng(8)
+    size = np.array([1, 2, 40, 64, 300])
+    center = r.integers(0, 2**64, (4, 2), dtype=np.uint64)
+    fp = center[r.integers(0, 4, size.sum())]
+    for _ in range(10):
+        fp[np.arange(len(fp)), r.integers(0, 2, len(fp))] ^= np.uint64(1) << r.integers(0, 64, len(fp)).astype(np.uint64)
+    fp[-30:] = r.integers(0, 2**64, (30, 2), dtype=np.uint64)
+    at = np.cumsum(size) - size
+    p = alike.Pivots(fp[:, 0].copy(), fp[:, 1].copy(), at, size, 40)
+    unlike = discarded = 0
+    for s, n in zip(at.tolist(), size.tolist()):
+        i, j = (x + s for x in np.triu_indices(n, 1))
+        near = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= 40
+        assert np.array_equal(p.near(i, j), near)
+        assert all(np.array_equal(p.near(int(k), j[i == k]), near[i == k]) for k in range(s, s + n))
+        unlike += int((~near).sum())
+        discarded += int((~p.maybe(i, j)).sum())
+    assert discarded > unlike / 2
+
+
+def test_stage_compares_by_pivot_tables(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(alike, "Pivots", lambda *a, old=alike.Pivots: made.append(old(*a)) or made[-1])
+    code = np.arange(40, dtype=np.int32) // 8
+    f = np.random.default_rng(2).integers(-(2**62), 2**62, 40)
+    classes = spark.createDataFrame([(i, int(f[i // 2]), int(f[i // 2 + 1]), [int(code[i])]) for i in range(40)], "c long, f0 long, f1 long, first array<int>")
+    kernel = {}
+    monkeypatch.setattr(type(classes), "mapInArrow", lambda self, f, schema: kernel.setdefault("f", f))
+    alike.candidates(classes, 40)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(code), pa.array(range(40), pa.int64()), pa.array(f[np.arange(40) // 2]), pa.array(f[np.arange(40) // 2 + 1])], ["h", "c", "f0", "f1"])
+    (out,) = list(kernel["f"](iter([batch])))
+    assert made and out["a"].to_pylist() == list(range(1, 40, 2)) and out["b"].to_pylist() == list(range(0, 40, 2))
