@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import bytes_of, checkpointed, columns_of, connected_components, local_roots, numbers_of, partitions, slices
+from memlake.llm.common import bytes_of, checkpointed, columns_of, connected_components, lean, local_roots, numbers_of, partitions, slices
 from memlake.llm.windows import C1, C2, U, grams, mix, words
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -155,7 +155,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(shingles(b["text"], k)[0].view(np.int64))], ["h"])
 
     every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(every)) == 0).select("text").mapInArrow(f, "h long")
+    some = docs.where(F.pmod(F.xxhash64("k", F.lit(5)), F.lit(every)) == 0).select("text").mapInArrow(lean(f), "h long")
     return np.sort(columns_of(some.groupBy("h").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "h").limit(MOST).select("h"))["h"].astype(np.int64).view(U))
 
 
@@ -181,7 +181,7 @@ def marked(docs: DataFrame, often: np.ndarray, k: int, least: float) -> DataFram
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array((first >> U(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([b["k"], b["id"], pa.array(c.view(np.int64)), *[pa.array(fp[:, i].copy().view(np.int64)) for i in (0, 1)], lists], ["k", "id", "c", "f0", "f1", "first"])
 
-    return docs.mapInArrow(f, "k long, id long, c long, f0 long, f1 long, first array<int>")
+    return docs.mapInArrow(lean(f), "k long, id long, c long, f0 long, f1 long, first array<int>")
 
 
 def candidates(classes: DataFrame, bits: int) -> DataFrame:
@@ -224,7 +224,7 @@ def candidates(classes: DataFrame, bits: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(name[n]), pa.array(name[root[n]])], ["a", "b"])
 
     dealt = classes.select(F.explode("first").alias("h"), "c", "f0", "f1")
-    return dealt.repartition(partitions(classes.sparkSession), "h").mapInArrow(f, "a long, b long")
+    return dealt.repartition(partitions(classes.sparkSession), "h").mapInArrow(lean(f), "a long, b long")
 
 
 def linked(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -273,8 +273,8 @@ def verified(docs: DataFrame, members: DataFrame, k: int, least: float) -> DataF
             out += zip(name[n].tolist(), name[root[n]].tolist(), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["node", "comp"])
 
-    text = docs.join(members, "k").select("text", "c", "root").mapInArrow(sets, "root long, c long, own binary")
-    return text.repartition(partitions(docs.sparkSession), "root").mapInArrow(f, "node long, comp long")
+    text = docs.join(members, "k").select("text", "c", "root").mapInArrow(lean(sets), "root long, c long, own binary")
+    return text.repartition(partitions(docs.sparkSession), "root").mapInArrow(lean(f), "node long, comp long")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

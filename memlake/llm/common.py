@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,33 @@ def rewritten(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released() -> None:
+    """Give the memory that allocators keep back to the system. A Python worker outlives its task, and what it keeps stays with its executor."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc's
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """A function over Arrow data, or a generator over its batches, that ends with `released`."""
+    if inspect.isgeneratorfunction(f):
+
+        @wraps(f)
+        def g(*data):
+            yield from f(*data)
+            released()
+    else:
+
+        @wraps(f)
+        def g(*data):
+            out = f(*data)
+            released()
+            return out
+
+    g.__signature__ = inspect.signature(f)  # Spark asks how many tables it takes
+    return g
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit hashes that stand for a text."""
     return [F.xxhash64(text), F.xxhash64(F.lit(7), text)]

@@ -16,13 +16,14 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import checkpointed, numbers_of, partitions, table
+from memlake.llm.common import checkpointed, lean, numbers_of, partitions, table
 
 SPECIAL = "<|endoftext|>"
 ROUNDS = 400  # of pricing; the program is then taken as it is
@@ -43,11 +44,11 @@ def encoder(vocabulary: str):
         from tokenizers import Tokenizer
 
         path = public_tokenizers.path(vocabulary)
-        slow = Tokenizer.from_file(path)
+        slow = cache(lambda: Tokenizer.from_file(path))  # some 30 MB, and few texts ask for it
         with open(public_tokenizers.path(vocabulary.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _encoder = (vocabulary, lambda t: slow.encode(t, add_special_tokens=False).ids if SPECIAL in t else fast.encode_ordinary(t))
+        _encoder = (vocabulary, lambda t: slow().encode(t, add_special_tokens=False).ids if SPECIAL in t else fast.encode_ordinary(t))
     return _encoder[1]
 
 
@@ -77,7 +78,7 @@ def pieces(docs: DataFrame, size: int, grain: int, vocabulary: str, id_col: str,
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["id", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(f, "id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(lean(f), "id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def knapsacks(price: np.ndarray, lengths: np.ndarray, size: int, most: int) -> tuple[list[np.ndarray], float]:

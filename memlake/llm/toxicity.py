@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import bytes_of, checkpointed, columns_of, numbers_of, slices, table
+from memlake.llm.common import bytes_of, checkpointed, columns_of, lean, numbers_of, released, slices, table
 from memlake.llm.windows import U, words
 
 ORDER = 8  # bytes of a gram; they fit one number
@@ -345,8 +345,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, id_col: str =
     nothing = Classifier(None, None, n.get(1, 0) / max(1, sum(n.values())))
     if not n.get(0) or not n.get(1):
         return nothing
-    counted = checkpointed(rows.select("fold", "toxic", "text").mapInArrow(_counts, "gram long, slot int, n long").groupBy("gram", "slot").agg(F.sum("n").alias("n")))
-    corpus = checkpointed(docs.select(plain(text_col).alias("text")).mapInArrow(_corpus, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    counted = checkpointed(rows.select("fold", "toxic", "text").mapInArrow(lean(_counts), "gram long, slot int, n long").groupBy("gram", "slot").agg(F.sum("n").alias("n")))
+    corpus = checkpointed(docs.select(plain(text_col).alias("text")).mapInArrow(lean(_corpus), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     wanted = counted.select(F.col("gram").bitwiseAND(low(SHARED)).alias("gram")).distinct()
     p = checkpointed(shared_shares(corpus, wanted).select("gram", F.lit(0).alias("ordinary"), F.lit(0).alias("toxic"), "p"))
     # a model for each fold, of the rows of the others
@@ -360,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, id_col: str =
         got = [(b["toxic"], evidence(model, pa.chunked_array([b["text"]]), known)) for whole in right.to_batches() for b in slices(whole, "text")]
         return pa.table({"toxic": pa.chunked_array([t for t, _ in got]), "x": np.concatenate([x for _, x in got])})
 
-    tried = columns_of(others.groupBy("fold").cogroup(rows.select("fold", "toxic", "text").groupBy("fold")).applyInArrow(crossed, "toxic int, x double"))
+    tried = columns_of(others.groupBy("fold").cogroup(rows.select("fold", "toxic", "text").groupBy("fold")).applyInArrow(lean(crossed), "toxic int, x double"))
     y = tried["toxic"].astype(float)
     if not (y == 0).any() or not (y == 1).any():
         return nothing
@@ -376,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, id_col: str =
             "value": np.concatenate([v for *_, v in part]),
         })
 
-    built = checkpointed(_by_class(counted, p).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(whole, "size byte, kind byte, key long, value float"))
+    built = checkpointed(_by_class(counted, p).withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lean(whole), "size byte, kind byte, key long, value float"))
     model = []
     for s in range(ORDER, SHARED, -1):
         two = []
@@ -396,7 +396,7 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
         for b in (x for whole in batches for x in slices(whole, "text")):
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(held.value.scores(pa.chunked_array([b["text"]])))], ["id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text")).mapInArrow(f, "id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), plain(text_col).alias("text")).mapInArrow(lean(f), "id long, score double")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, limit: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -407,6 +407,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame, limit: float = 0.7, text_col:
     def s(text: pa.Array) -> pa.Array:
         whole = pa.RecordBatch.from_arrays([text], ["text"])
         got = [held.value.scores(pa.chunked_array([b["text"]])) for b in slices(whole, "text")]
+        released()
         return pa.array(np.concatenate(got) if got else np.empty(0))
 
     return docs.where(s(plain(text_col)) < limit)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import bytes_of, numbers_of, partitions, text_key
+from memlake.llm.common import bytes_of, lean, numbers_of, partitions, text_key
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -432,11 +432,11 @@ def remove_repeats(docs: DataFrame, spec: Windows, kernel: Kernel, id_col: str,
     said = reps.select(F.pmod(F.hash("id"), F.lit(groups)).alias("src"), F.lit(0).alias("kind"), "id", F.col("k1").alias("x"), F.col("k2").alias("y"))
 
     def cogrouped(right: DataFrame, f, schema) -> DataFrame:
-        return base.groupBy("src").cogroup(right.groupBy("src")).applyInArrow(f, schema)
+        return base.groupBy("src").cogroup(right.groupBy("src")).applyInArrow(lean(f), schema)
 
-    found = cogrouped(said, anchors_of(spec), ANCHORS).repartition(p, "anchor").mapInArrow(shared(spec.hot), SHARED)
+    found = cogrouped(said, anchors_of(spec), ANCHORS).repartition(p, "anchor").mapInArrow(lean(shared(spec.hot)), SHARED)
     told = said.unionByName(found.select("src", F.lit(1).alias("kind"), none.cast("long").alias("id"), F.col("anchor").alias("x"), F.col("hot").cast("long").alias("y")))
-    spans = cogrouped(told, stretches_of(spec), STRETCHES).repartition(p, "part").mapInArrow(match(spec, kernel), SPANS)
+    spans = cogrouped(told, stretches_of(spec), STRETCHES).repartition(p, "part").mapInArrow(lean(match(spec, kernel)), SPANS)
     back = said.unionByName(spans.select("src", F.lit(2).alias("kind"), F.col("number").cast("long").alias("id"), F.col("start").alias("x"), F.col("stop").alias("y")))
     row_type = base.schema["row"].dataType
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", row_type), *[T.StructField(c, T.LongType()) for c in ("n", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])

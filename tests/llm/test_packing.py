@@ -92,3 +92,21 @@ def test_plan_needs_no_threads_of_blas(monkeypatch):
     test_plan_against_bound()
     a = np.random.default_rng(4).integers(0, 5, (40, 40)).astype(float)
     assert np.allclose(packing.times(a, packing.inverse_of(a)), np.eye(40), atol=1e-8)
+
+
+def test_second_tokenizer_is_loaded_for_texts_that_ask_for_it(monkeypatch):
+    import tokenizers
+
+    loaded = []
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            loaded.append(path)
+            return Tokenizer.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    monkeypatch.setattr(packing, "_encoder", None)
+    encode = packing.encoder("byte_bpe_50k.json")
+    assert len(encode("plain words")) and not loaded
+    assert len(encode(packing.SPECIAL)) == len(encode(packing.SPECIAL)) == 1 and len(loaded) == 1
