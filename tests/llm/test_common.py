@@ -5,7 +5,6 @@ import pyarrow as pa
 from memlake.llm import alike, common, lz_dedup, packing, toxicity
 
 
-
 def held():
     import re
 
