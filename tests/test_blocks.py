@@ -79,3 +79,22 @@ def test_rounding_is_that_of_the_shortest_decimal():
     import numpy as np
 
     assert blocks.half_up(np.array([0.1234565, -0.1234565, 0.0000005, 0.3])).tolist() == [123457, -123457, 1, 300000]
+
+
+def vectors(spark, path, rows):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def unit(i):
+    """64 numbers of length 1, unlike for each i."""
+    x = [math.sin((i + 1) * (j + 3) * 0.7) for j in range(64)]
+    n = math.sqrt(sum(a * a for a in x))
+    return [a / n for a in x]
+
+
+@pytest.mark.parametrize("name", ["cosine_topk"])
+def test_nearest_vectors_make_no_row_for_each_pair(spark, large, tmp_path, name):
+    d = vectors(spark, tmp_path, [(i, unit(i), 1) for i in range(120)])
+    plan = catalogue.queries()[name](spark, d)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
