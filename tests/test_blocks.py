@@ -93,7 +93,7 @@ def unit(i):
     return [a / n for a in x]
 
 
-@pytest.mark.parametrize("name", ["cosine_topk"])
+@pytest.mark.parametrize("name", ["cosine_topk", "rrf_fused"])
 def test_nearest_vectors_make_no_row_for_each_pair(spark, large, tmp_path, name):
     d = vectors(spark, tmp_path, [(i, unit(i), 1) for i in range(120)])
     plan = catalogue.queries()[name](spark, d)._jdf.queryExecution().toString()
