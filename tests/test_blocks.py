@@ -93,8 +93,14 @@ def unit(i):
     return [a / n for a in x]
 
 
-@pytest.mark.parametrize("name", ["cosine_topk", "rrf_fused"])
+@pytest.mark.parametrize("name", ["cosine_topk", "rrf_fused", "mmr_top3"])
 def test_nearest_vectors_make_no_row_for_each_pair(spark, large, tmp_path, name):
     d = vectors(spark, tmp_path, [(i, unit(i), 1) for i in range(120)])
     plan = catalogue.queries()[name](spark, d)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_mmr_reads_its_candidates_once(spark, tmp_path):
+    d = vectors(spark, tmp_path, [(i, unit(i), 1) for i in range(120)])
+    plan = catalogue.queries()["mmr_top3"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "embeddings.parquet" not in plan and "CoGroups" not in plan
