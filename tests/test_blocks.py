@@ -104,3 +104,16 @@ def test_mmr_reads_its_candidates_once(spark, tmp_path):
     d = vectors(spark, tmp_path, [(i, unit(i), 1) for i in range(120)])
     plan = catalogue.queries()["mmr_top3"](spark, d)._jdf.queryExecution().executedPlan().toString()
     assert "embeddings.parquet" not in plan and "CoGroups" not in plan
+
+
+@pytest.mark.parametrize("side", [8192, 9])
+def test_close_pairs_over_blocks(spark, tmp_path, monkeypatch, side):
+    monkeypatch.setattr(blocks, "SIDE", side)
+    rows = [(i, unit(i // 2), i % 2 if i < 30 else 0) for i in range(40)] + [(40, None, 0), (41, [0.5] * 4, 0), (42, [1.0] * 4, 0), (43, unit(0), None)]
+    df = catalogue.queries()["alias_pairs"](spark, vectors(spark, tmp_path, rows))
+    v = {r[0]: r for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a][1], v[b][1]))
+    alike = lambda a, b: v[a][2] is not None and v[a][2] == v[b][2] and None not in (v[a][1], v[b][1]) and len(v[a][1]) == len(v[b][1])
+    want = {(a, b) for a in v for b in v if a < b and alike(a, b) and dot(a, b) >= 0.3}
+    assert want and {(r["a"], r["b"]) for r in df.collect()} == want
+    assert "a#" not in "".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
