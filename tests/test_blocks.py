@@ -117,3 +117,8 @@ def test_close_pairs_over_blocks(spark, tmp_path, monkeypatch, side):
     want = {(a, b) for a in v for b in v if a < b and alike(a, b) and dot(a, b) >= 0.3}
     assert want and {(r["a"], r["b"]) for r in df.collect()} == want
     assert "a#" not in "".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_clusters_of_many_like_vectors_make_few_links(spark, large, tmp_path):
+    rows = {n: shuffled(spark, lambda n=n: catalogue.queries()["dbscan_components"](spark, vectors(spark, tmp_path / str(n), [(i, unit(0), 1) for i in range(n)]))) for n in (200, 400)}
+    assert rows[400] < 2.5 * rows[200], rows
