@@ -32,7 +32,7 @@ def large(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-TFIDF = ["session_diverse_topk", "round_robin", "any_all_gold", "retrieval_metrics", "recall_block", "session_scores"]
+TFIDF = ["session_diverse_topk", "round_robin", "any_all_gold", "retrieval_metrics", "recall_block", "session_scores", "tfidf_topk"]
 
 
 @pytest.mark.parametrize("name", TFIDF)
